@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.llm import chat, language
 from gneiss.llm.common import table
+from gneiss.llm.decontam import contamination
+from gneiss.llm.mixing import mix
+from gneiss.llm.multiindex import near_vectors
+from gneiss.llm.sharding import shard_rows
 from gneiss.llm.simhash import simhash_groups
 from gneiss.llm.substring import remove_repeated
 
@@ -16,13 +21,105 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language.fit(docs.where(~held_out()))
+    found = language.identify(docs.select("doc_id", "text"), filters, ["doc_id"])
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "longest",
+    )
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), 24)
+
+
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).selectExpr("-7L", "id", "if(id = 0, 'user', 'assistant')", "'</s>[INST] ok [/INST]'")
+    return chat.digests(chat.format_chats(rows.union(more)))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("row.doc_id", "row.source", "copy", "shuffle_key")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
+    "op4_sharding": op4_sharding,
+    "op6_multi_index": op6_multi_index,
+    "op7_chat_format": op7_chat_format,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP9_SQL = """
+WITH counts AS (SELECT source, count(*) AS n, pow(count(*), 0.7) AS w FROM documents GROUP BY source),
+rates AS (
+  SELECT source, w / (SELECT sum(w) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts
+),
+parts AS (SELECT source, greatest(1, ceil(rate / 32))::INT AS parts, rate / greatest(1, ceil(rate / 32)) AS mean FROM rates),
+cdf AS (
+  SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM (SELECT source, mean, unnest(range(ceil(mean + 12 * sqrt(mean) + 20)::INT + 1)) AS k FROM parts)
+),
+tables AS (SELECT p.source, p.parts, list(c.c ORDER BY c.k) AS cdf FROM parts p JOIN cdf c ON p.source IS NOT DISTINCT FROM c.source GROUP BY ALL),
+counted AS (
+  SELECT d.doc_id, d.source,
+    list_sum([len(list_filter(t.cdf, lambda c: c <= ('0x' || substr(md5('0:' || j || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0)) FOR j IN range(1, t.parts + 1)]) AS n
+  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, copy::INT AS copy, md5('0 shuffle:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+FROM (SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM counted WHERE n > 0)
+"""
+
+_ESCAPE = "replace({}, '\\', '\\\\')"
+for _c in chat.CONTROL:
+    _ESCAPE = f"replace({_ESCAPE}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+OP7_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + {len(chat.TURN + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": OP7_SQL,
+    "op9_mixing": OP9_SQL,
+}

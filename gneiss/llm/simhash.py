@@ -55,20 +55,20 @@ def fingerprint_words(words: list[bytes], width: int = 3, seed: int = 42) -> int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long. Null and empty texts have 0."""
+    """(id, tid, fp): the text's XXH64, and the fingerprint as a signed long. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             out = np.zeros(len(texts), np.uint64)
             for k, t in enumerate(texts):
                 t = t.as_py()
                 if t:
                     out[k] = fingerprint_words(t.lower().split(), width, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["id", "tid", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, f"id {kind}, tid long, fp long")
 
 
 def spanning_links(found: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -125,6 +125,19 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, hot: int = 2048) ->
     return buckets.mapInArrow(run, "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(id, tid, fp, component_id) of each row; of a component, first_id and first_tid are those of the row that stays."""
+    prints = cut(fingerprints(docs, id_col, text_col))
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tid")
+    classes = prints.groupBy("fp").agg(F.min(row).alias("first"))
+    joined = components(fingerprint_links(prints.select("fp").distinct(), radius))
+    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = cut(named)
+    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
+    of = named.select("fp", "component").join(smallest, "component").select("fp", "first")
+    return prints.join(of, "fp").select("id", "tid", "fp", F.col("first.id").alias("first_id"), F.col("first.tid").alias("first_tid"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (smallest id reachable by links of at most `radius` bits).
 
@@ -134,11 +147,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are not read. An empty table gives no rows. Equal fingerprints are one class before any search, so
     copies make no pairs.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    joined = components(fingerprint_links(prints.select("fp").distinct(), radius))
-    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = cut(named)
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _grouped(docs, id_col, text_col, radius)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """docs with one row of each group: the one with the smallest id (null ids last; of equal ids, the smallest text hash), all columns."""
+    found = _grouped(docs, id_col, text_col, radius)
+    stays = cut(found.where(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tid") == F.col("first_tid"))).groupBy("id", "tid").agg(F.count("*").alias("n")))
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(held.alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"))
+    if stays.where("n > 1").limit(1).count():  # the same row more than once
+        rows = rows.dropDuplicates(["id", "tid"])
+    on = rows["id"].eqNullSafe(stays["id"]) & (rows["tid"] == stays["tid"])
+    return rows.join(stays, on, "left_semi").select("row.*")
