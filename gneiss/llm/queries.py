@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import chat, language
+from gneiss.llm import chat, language, pii, secrets
 from gneiss.llm.common import table
 from gneiss.llm.decontam import contamination
 from gneiss.llm.mixing import mix
@@ -49,6 +49,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key="gneiss")
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.union(more)))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(secrets.count_of(F.col("base"), k).alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("row.doc_id", "row.source", "copy", "shuffle_key")
@@ -73,8 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_multi_index": op6_multi_index,
     "op7_chat_format": op7_chat_format,
+    "op8_secret_scan": op8_secret_scan,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
