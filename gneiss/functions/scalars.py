@@ -66,7 +66,9 @@ def truncate_doc(doc: Column, most: int = 160) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    return F.when(n >= 1000, F.format_string("%.1fK", n / 1000)).otherwise(n.cast("string"))
+    """Thousands to one digit, halves up, in whole numbers."""
+    tenths = F.floor((n + 50) / 100)
+    return F.when(n >= 1000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def tokenize(text: Column) -> Column:
