@@ -17,7 +17,7 @@ from gneiss.operators.fixpoint import checkpointed
 
 MOST_ANSWERS, MOST_TRACE, MOST_ROUNDS = 1000, 500, 100_000
 _TOKEN = re.compile(
-    r"(?P<skip>\s+|%[^\n]*|/\*.*?\*/)|(?P<op>:-|\?-|\\\+|\\==|\\=|=:=|=<|>=|==|=|<|>|[(),;!|\[\]]|->)|(?P<num>-?\d+(?:\.\d+)?)|(?P<end>\.(?=\s|%|$))|(?P<atom>[a-z]\w*)|(?P<var>[A-Z_]\w*)|(?P<quoted>'(?:[^'\\]|\\.|'')*')",
+    r"(?P<skip>\s+|%[^\n]*|/\*.*?\*/)|(?P<op>:-|\?-|\\\+|\\==|\\=|=:=|=<|>=|==|=|<|>|[(),;!|\[\]/+*]|->)|(?P<num>-?\d+(?:\.\d+)?)|(?P<end>\.(?=\s|%|$))|(?P<atom>[a-z]\w*)|(?P<var>[A-Z_]\w*)|(?P<quoted>'(?:[^'\\]|\\.|'')*')",
     re.DOTALL,
 )
 _COMPARE = {"=": "=", "==": "=", "=:=": "=", "\\=": "<>", "\\==": "<>", "<": "<", ">": ">", "=<": "<=", ">=": ">="}
@@ -255,7 +255,7 @@ def strata(rules: list[Rule]) -> list[set[str]]:
         for p in derived:
             reach[p] |= set().union(*(reach[q] for q in reach[p]), set())
     groups: list[set[str]] = []
-    for p in sorted(derived, key=lambda p: (level[p], len(reach[p]), p)):
+    for p in sorted(derived, key=lambda p: (level[p], len(reach[p] | {p}), p)):
         if not any(p in g for g in groups):
             groups.append({p} | {q for q in derived if q in reach[p] and p in reach[q]})
     return groups
