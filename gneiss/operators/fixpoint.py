@@ -32,7 +32,8 @@ def frontiers(edges: DataFrame, seeds: DataFrame, most: int | None = None, stop_
     depth: edges of a shortest way; parent: the smallest node before it on one. A seed is in the result only if an
     edge leads back to it. stop_at (a column `node`): the search ends after the round that meets one of its nodes.
     """
-    edges = edges.select("src", "dst")
+    # read once, and dealt by the key of every round's join; a lost part is computed again from its source
+    edges = edges.select("src", "dst").repartition("src").persist()
     seen = None
     frontier = checkpointed(seeds.select("node").distinct())
     depth = 0
@@ -49,6 +50,7 @@ def frontiers(edges: DataFrame, seeds: DataFrame, most: int | None = None, stop_
         if stop_at is not None and found.join(stop_at, "node", "left_semi").limit(1).count():
             break
         frontier = found
+    edges.unpersist()
     return seen if seen is not None else frontier.select("node", F.lit(0).alias("depth"), F.col("node").alias("parent")).limit(0)
 
 

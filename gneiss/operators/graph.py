@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.scalars import escape_atom, extract_layer, format_list, quote_if_needed
-from gneiss.operators.fixpoint import frontiers, on_cycles
+from gneiss.operators.fixpoint import checkpointed, frontiers, on_cycles
 from gneiss.sources.facts import CodeGraph
 
 #: The order of the layers.
@@ -49,7 +49,7 @@ def callees(graph: CodeGraph, source: str) -> DataFrame:
 def reachability(graph: CodeGraph, source: str, target: str) -> DataFrame:
     """One row (reachable). A node reaches itself by an edge to itself only, another node by one edge or more."""
     edges = _directed(graph)
-    a, b = resolve_targets(graph, source), resolve_targets(graph, target)
+    a, b = checkpointed(resolve_targets(graph, source)), checkpointed(resolve_targets(graph, target))
     both, others = a.join(b, "node", "left_semi"), b.join(a, "node", "left_anti")
     hits = edges.where("src = dst").select(F.col("src").alias("node")).join(both, "node", "left_semi")
     hits = hits.unionAll(frontiers(edges, a, stop_at=others).select("node").join(others, "node", "left_semi"))
@@ -62,10 +62,10 @@ def reachability(graph: CodeGraph, source: str, target: str) -> DataFrame:
 def path(graph: CodeGraph, source: str, target: str) -> list[str]:
     """A shortest chain of nodes from what source means to what target means; of equals, the smallest node before each step."""
     sources = [x.node for x in resolve_targets(graph, source).orderBy("node").collect()]
-    targets = resolve_targets(graph, target)
+    targets = checkpointed(resolve_targets(graph, target))
     edges = _directed(graph)
     for s in sources:
-        seed = resolve_targets(graph, source).where(F.col("node") == s)
+        seed = graph.calls.sparkSession.createDataFrame([(s,)], "node string")
         other = targets.where(F.col("node") != s)
         reached = frontiers(edges, seed, stop_at=other)
         best = reached.join(other, "node").orderBy("depth", "node").limit(1).collect()
@@ -89,7 +89,7 @@ def path_text(graph: CodeGraph, source: str, target: str) -> str:
 
 def impact(graph: CodeGraph, target: str) -> DataFrame:
     """(name) of all that lead to what target means; targets themselves only if an edge leads from one to itself."""
-    targets = resolve_targets(graph, target)
+    targets = checkpointed(resolve_targets(graph, target))
     reached = frontiers(_directed(graph, back=True), targets).select("node")
     loops = _directed(graph).where("src = dst").select(F.col("src").alias("node")).join(targets, "node", "left_semi")
     return reached.join(targets, "node", "left_anti").unionAll(loops).select(F.col("node").alias("name"))

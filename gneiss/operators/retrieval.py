@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.functions.scalars import cosine, mock_embedding, norm, snippet, tokenize, word_jaccard
+from gneiss.functions.scalars import STOPWORDS, cosine, mock_embedding, norm, snippet, tokenize, word_jaccard
 from gneiss.sources.facts import CodeGraph
 
 
 @dataclass(frozen=True)
 class BM25Index:
-    """postings (doc, term, tf), lengths (doc, length), idf (term, df, idf), average (one row: n, avg_length)."""
+    """tokens (doc, tokens) of the texts; the inverted index and its statistics follow from them."""
 
-    postings: DataFrame
-    lengths: DataFrame
-    idf: DataFrame
-    average: DataFrame
+    tokens: DataFrame
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str) -> BM25Index:
         """A text without tokens counts with length 0. Null texts are empty."""
-        rows = docs.select(F.col(id_col).alias("doc"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-        lengths = rows.select("doc", F.size("tokens").alias("length"))
-        postings = rows.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-        average = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-        idf = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(average))  # average is one row
-        idf = idf.select("term", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-        return cls(postings, lengths, idf, average)
+        return cls(docs.select(F.col(id_col).alias("doc"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc, term, tf)."""
+        return self.tokens.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+    @property
+    def average(self) -> DataFrame:
+        """One row: n, avg_length."""
+        return self.tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_length"))
+
+    @property
+    def idf(self) -> DataFrame:
+        """(term, df, idf)."""
+        df = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return self._weighted(df).select("term", "df", "idf")
+
+    def _weighted(self, df: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(self.average)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # average is one row
 
     def search(self, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(doc, score), best first; a term counts as often as the query holds it."""
-        spark = self.postings.sparkSession
-        terms = spark.createDataFrame([(query,)], "q string").select(F.explode(tokenize(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-        scored = self.postings.join(terms, "term").join(self.idf, "term").join(self.lengths, "doc").crossJoin(F.broadcast(self.average))
+        """(doc, score), best first; a term counts as often as the query holds it. Only the query's terms leave the scan."""
+        spark = self.tokens.sparkSession
+        words = [t for t in re.split("[^a-z0-9_]+", query.lower()) if len(t) >= 2 and t not in STOPWORDS]
+        terms = spark.createDataFrame(list(Counter(words).items()), "term string, times int")
+        wanted = F.array(*map(F.lit, sorted(set(words)))).cast("array<string>")
+        found = self.tokens.select("doc", F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("term"))
+        found = found.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
+        df = self._weighted(found.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term"))
+        scored = found.join(F.broadcast(df), "term")  # a row for each term of the query at most
         part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
         return scored.groupBy("doc").agg(F.sum(part).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(limit)
 
