@@ -24,6 +24,14 @@ class BM25Index:
         """A text without tokens counts with length 0. Null texts are empty."""
         return cls(docs.select(F.col(id_col).alias("doc"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")))
 
+    def add(self, docs: DataFrame, id_col: str, text_col: str) -> BM25Index:
+        """With more texts; statistics follow from all tokens, so an index that grew equals one built at once."""
+        return BM25Index(self.tokens.unionAll(BM25Index.build(docs, id_col, text_col).tokens))
+
+    def remove(self, ids: DataFrame) -> BM25Index:
+        """Without the texts of ids (a column `doc`)."""
+        return BM25Index(self.tokens.join(ids, "doc", "left_anti"))
+
     @property
     def postings(self) -> DataFrame:
         """(doc, term, tf)."""
@@ -71,6 +79,19 @@ def remove_vectors(store: DataFrame, ids: list[str]) -> DataFrame:
     return store.where(~F.col("id").isin(ids))
 
 
+def save_vectors(store: DataFrame, path: str) -> None:
+    store.select("id", "vector").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
+    """(id, vector, norm); a store with vectors of another length than `dimension`, or of several, is refused."""
+    store = spark.read.schema("id string, vector array<double>").parquet(path)
+    found = [x[0] for x in store.select(F.size("vector")).distinct().limit(2).collect()]
+    if len(found) > 1 or dimension and found and found != [dimension]:
+        raise ValueError(f"the store holds vectors of {sorted(found)} components")
+    return store.withColumn("norm", norm(F.col("vector")))
+
+
 def nearest(store: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, score) by cosine, best first. Zero vectors never match; a zero query or k below 1 gives nothing."""
     q = F.array(*(F.lit(float(x)) for x in query))
