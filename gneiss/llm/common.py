@@ -8,7 +8,11 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gneiss.operators.fixpoint import checkpointed as cut
+from gneiss.operators.fixpoint import components
+
+__all__ = ["by_bytes", "components", "cut", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df and cuts its lineage by a checkpoint that any executor can read."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, as compressed columns: for tables of many rows of which each reader needs some columns."""
     spark = df.sparkSession
@@ -51,30 +47,3 @@ def by_bytes(texts: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of a distributed edge list: (node, component), component being the smallest node.
-
-    Alternates two star operations until nothing changes. Each is a grouped minimum, which combines before it
-    shuffles, and a join, which Spark can split where a node has very many neighbours. Nodes without an edge to
-    another node are absent. Nothing but one row of counts reaches the driver.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = cut(e)
-    seen = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v"))).first())
-        if now == seen or not now[0]:
-            break
-        seen = now
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
