@@ -18,7 +18,7 @@ from gneiss.llm.substring import remove_repeated
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeated(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def held_out(id_col: str = "doc_id"):
