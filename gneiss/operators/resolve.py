@@ -123,6 +123,18 @@ def resolve_chains(pending: DataFrame, fields: DataFrame, most: int = 8) -> Data
     return rows.withColumn("type", F.when(F.size("receiver_chain") > longest, None).otherwise(F.col("type")))
 
 
+def variable_types(asked: DataFrame, bindings: DataFrame) -> DataFrame:
+    """asked (file, scope, name) with `type`: the binding in the function's scope, else the file's (a null scope); later rows (seq) win.
+
+    bindings: (file, scope, name, type, seq).
+    """
+    latest = bindings.groupBy("file", "scope", "name").agg(F.max_by("type", "seq").alias("type"))
+    inner = latest.where("scope is not null").withColumnRenamed("type", "inner_type")
+    outer = latest.where("scope is null").select("file", "name", F.col("type").alias("outer_type"))
+    rows = asked.join(inner, ["file", "scope", "name"], "left").join(outer, ["file", "name"], "left")
+    return rows.select(*asked.columns, F.coalesce("inner_type", "outer_type").alias("type"))
+
+
 def qualify_callees(calls: DataFrame, pending: DataFrame, fields: DataFrame, methods: DataFrame, contains: DataFrame) -> DataFrame:
     """calls with callee_qn: by the receiver's type and the class that declares the method; else by the only owner of the method's name.
 

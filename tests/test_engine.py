@@ -87,6 +87,22 @@ def test_inheritance_and_chains(spark):
     assert pairs(resolve.resolve_chains(pending, fields), "k", "type") == {(1, "S"), (2, "S"), (3, None), (4, None)}
 
 
+def test_variable_types(spark):
+    bindings = spark.createDataFrame([("f", "g", "x", "A", 1), ("f", None, "x", "B", 2), ("f", None, "y", "C", 3), ("f", None, "y", "D", 4)], "file string, scope string, name string, type string, seq long")
+    asked = spark.createDataFrame([("f", "g", "x"), ("f", "h", "x"), ("f", "g", "y"), ("f", "g", "z"), ("f", None, "x")], "file string, scope string, name string")
+    assert pairs(resolve.variable_types(asked, bindings), "scope", "name", "type") == {("g", "x", "A"), ("h", "x", "B"), ("g", "y", "D"), ("g", "z", None), (None, "x", "B")}
+
+
+def test_services(spark):
+    from gneiss.functions.services import Replies, embedder
+
+    ask = Replies("none").on("tax", "yes").on("^q", lambda: "made")
+    assert [ask("s", [m]) for m in ("tax", "quick", "other")] == ["yes", "made", "none"] and len(ask.asked) == 3
+    texts = spark.createDataFrame([("ab",), ("c",), ("ab",), (None,)], "t string")
+    got = [x.v for x in texts.select(embedder(lambda part: [[float(len(p)), 1.0] for p in part], 2, 1)(F.col("t")).alias("v")).collect()]
+    assert got == [[2.0, 1.0], [1.0, 1.0], [2.0, 1.0], None]
+
+
 def test_suffixes(spark):
     files = spark.createDataFrame([("src/a/util.ts", 1), ("lib/a/util.ts", 2), ("src/pkg/index.ts", 3)], "path string, seq long")
     index = resolve.suffix_index(files)
