@@ -135,7 +135,61 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM windows JOIN again USING (h)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM words WHERE NOT EXISTS (FROM gone g WHERE g.r = words.r AND g.p = words.p) GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+"""
+
+_FOLDED = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_FOLDED} AS w FROM documents),
+items AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+tests AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), found AS (
+  SELECT r, i, x.n, item_id FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS t FROM (
+    SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM tests))) x JOIN tests USING (t, n)
+), hits AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r),
+runs AS (  -- of one item along one diagonal, the longest verbatim match
+  SELECT r, max(m) AS longest FROM (
+    SELECT r, item_id, max(i + n) - min(i) AS m FROM (
+      SELECT *, i - row_number() OVER (PARTITION BY r, item_id, o - i ORDER BY i) AS g FROM (
+        SELECT f.r, f.item_id, f.i, f.n, o.o FROM found f JOIN (
+          SELECT item_id, n, o, array_to_string(w[o:o + n - 1], ' ') AS t FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS o FROM items WHERE len(w) > 0)
+        ) o ON o.item_id = f.item_id AND o.n = f.n JOIN d ON d.r = f.r AND array_to_string(d.w[f.i:f.i + f.n - 1], ' ') = o.t))
+    GROUP BY r, item_id, o - i, g) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0)::INT AS longest
+FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r) LEFT JOIN runs USING (r)
+"""
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id, vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept
+FROM embeddings
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op6_multi_index": OP6_SQL,
     "op7_chat_format": OP7_SQL,
     "op9_mixing": OP9_SQL,
 }
