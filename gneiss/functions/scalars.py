@@ -72,8 +72,7 @@ def format_tokens(n: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.scalars import STOPWORDS, cosine, mock_embedding, norm, snippet, tokenize, word_jaccard
+from gneiss.operators.fixpoint import checkpointed
 from gneiss.sources.facts import CodeGraph
 
 
@@ -46,20 +47,23 @@ class BM25Index:
     def idf(self) -> DataFrame:
         """(term, df, idf)."""
         df = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        return self._weighted(df).select("term", "df", "idf")
+        return self._weighted(df, self.average).select("term", "df", "idf")
 
-    def _weighted(self, df: DataFrame) -> DataFrame:
-        return df.crossJoin(F.broadcast(self.average)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # average is one row
+    @staticmethod
+    def _weighted(df: DataFrame, average: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(average)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # average is one row
 
     def search(self, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(doc, score), best first; a term counts as often as the query holds it. Only the query's terms leave the scan."""
         spark = self.tokens.sparkSession
         words = [t for t in re.split("[^a-z0-9_]+", query.lower()) if len(t) >= 2 and t not in STOPWORDS]
         terms = spark.createDataFrame(list(Counter(words).items()), "term string, times int")
-        wanted = F.array(*map(F.lit, sorted(set(words)))).cast("array<string>")
-        found = self.tokens.select("doc", F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("term"))
-        found = found.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
-        df = self._weighted(found.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term"))
+        wanted = sorted(set(words)) or [""]
+        # texts are tokenized once; what is kept of a text is its length and the query's terms in it
+        hits = checkpointed(self.tokens.select("doc", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*wanted)).alias("hits")))
+        average = hits.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+        found = hits.select("doc", "length", F.explode("hits").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
+        df = self._weighted(found.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term"), average)
         scored = found.join(F.broadcast(df), "term")  # a row for each term of the query at most
         part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
         return scored.groupBy("doc").agg(F.sum(part).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(limit)
