@@ -139,17 +139,22 @@ def mock_embedding(text: Column, dimension: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: byte(i) / 128 - 1)
 
 
+def _stripped(s: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def prolog_query(spec: Column) -> Column:
     """struct(program, query): the last line that begins with ?- is the query; without one, true."""
     lines = F.split(spec, "\n")
-    at = F.array_max(F.transform(lines, lambda x, i: F.when(F.ltrim(x).startswith("?-"), i).otherwise(-1)))
+    at = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*\?-"), i).otherwise(-1)))
     rest = F.filter(lines, lambda x, i: i != at)
-    return F.when(at >= 0, F.struct(F.array_join(rest, "\n").alias("program"), F.trim(F.substr(F.ltrim(F.element_at(lines, at + 1)), F.lit(3))).alias("query"))).otherwise(F.struct(spec.alias("program"), F.lit("true.").alias("query")))
+    return F.when(at >= 0, F.struct(F.array_join(rest, "\n").alias("program"), _stripped(F.substr(_stripped(F.element_at(lines, at + 1)), F.lit(3))).alias("query"))).otherwise(F.struct(spec.alias("program"), F.lit("true.").alias("query")))
 
 
 def normalize_query(query: Column) -> Column:
-    bare = F.regexp_replace(F.trim(query), r"^\?-\s*", "")
-    return F.trim(F.regexp_replace(bare, r"\.\s*$", ""))
+    bare = F.regexp_replace(_stripped(query), r"^\?-\s*", "")
+    return _stripped(F.regexp_replace(bare, r"\.\s*$", ""))
 
 
 def prepare_smtlib(spec: Column, timeout_ms: int = 30_000) -> Column:
@@ -164,6 +169,17 @@ def is_kebab(name: Column) -> Column:
     return name.rlike("^[a-z][a-z0-9-]*$")
 
 
+def slot_names(skeleton: Column) -> Column:
+    """The distinct names of a skeleton's slots, in their order."""
+    return F.array_distinct(F.regexp_extract_all(skeleton, F.lit(r"\{\{SLOT:(\w+)\}\}"), F.lit(1)))
+
+
+def slot_mismatch(skeleton: Column, defined: Column) -> Column:
+    """struct(undefined, unused): slots of the skeleton without a definition, and definitions without a slot."""
+    used = slot_names(skeleton)
+    return F.struct(F.array_except(used, defined).alias("undefined"), F.array_except(defined, used).alias("unused"))
+
+
 def classify_feedback(status: Column, error: Column, core: Column, model: Column, answers: Column) -> Column:
     """What a result means for whoever corrects the specification. core, answers: arrays of text; model: a map."""
     entries = F.transform(F.map_entries(model), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))

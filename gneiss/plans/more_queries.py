@@ -13,6 +13,8 @@ from gneiss.plans.table_queries import _SOURCES_SQL, TOKENS, _sources
 from gneiss.sources import mermaid
 from gneiss.sources.bindings import table, trade
 
+SEARCHED = "which users may do what through roles and policies"
+
 
 def b2_bm25_incremental(spark, sf_dir):
     d = table(spark, sf_dir, "benchmark")
@@ -22,7 +24,7 @@ def b2_bm25_incremental(spark, sf_dir):
 
 
 def b4_template_search(spark, sf_dir):
-    return Library.create(spark).search("which users may do what through roles and policies", domain="authorization").select("name", F.round("score", 6).alias("score"))
+    return Library.create(spark).search(SEARCHED, domain="authorization").select("name", F.round("score", 6).alias("score"))
 
 
 def j3_suffix_resolve(spark, sf_dir):
