@@ -101,7 +101,7 @@ def g11_hubs(spark, sf_dir):
 
 
 def g12_bridges(spark, sf_dir):
-    return insights.bridges(trade(spark, sf_dir))
+    return insights.bridges(trade(spark, sf_dir)).select("name", F.round("score", 9).alias("score"))
 
 
 def g13_surprises(spark, sf_dir):
@@ -109,6 +109,13 @@ def g13_surprises(spark, sf_dir):
     return rows.select("source", "target", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
+def g13_surprises_given(spark, sf_dir):
+    """With the regions as communities."""
+    regions = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("name"), F.col("n_regionkey").alias("id"))
+    rows = insights.surprises(trade(spark, sf_dir), 20, regions)
+    return rows.select("source", "target", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, CodeGraph]:
     def of(where: str) -> CodeGraph:
         o = table(spark, sf_dir, "orders").where(where)
@@ -208,6 +215,19 @@ ORACLE_SQL = {
     "g18_undirected": f"WITH {TRADE} SELECT a, b FROM undirected",
     "g18_degrees": f"""WITH {HIER}, u AS (SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM calls WHERE caller <> callee)
         SELECT name, count(*) AS degree FROM (SELECT a AS name FROM u UNION ALL SELECT b FROM u) GROUP BY name""",
+    "g12_bridges": f"""WITH RECURSIVE {TRADE}, adjacent AS (SELECT a, b FROM undirected UNION ALL SELECT b, a FROM undirected),
+        walks AS (SELECT name AS s, name AS t, 0 AS k, 1.0::DOUBLE AS n FROM degrees UNION ALL SELECT s, b, k + 1, sum(n) FROM walks JOIN adjacent ON a = t WHERE k < 24 GROUP BY s, b, k),
+        shortest AS (SELECT s, t, min(k) AS d, min_by(n, k) AS n FROM walks GROUP BY s, t),
+        ways AS (SELECT x.t AS name, sum(x.n * y.n / z.n) AS score FROM shortest x JOIN shortest y ON y.s = x.t JOIN shortest z ON z.s = x.s AND z.t = y.t
+          WHERE x.s <> x.t AND y.s <> y.t AND x.s <> y.t AND x.d + y.d = z.d GROUP BY x.t),
+        every AS (SELECT count(*) AS n FROM (SELECT name FROM defines UNION SELECT caller FROM calls UNION SELECT callee FROM calls))
+      SELECT name, round(score / ((n - 1) * (n - 2)), 9) AS score FROM ways, every ORDER BY score DESC, name LIMIT 3""",
+    "g13_surprises_given": f"""WITH {TRADE}, first AS (SELECT least(caller, callee) AS a, greatest(caller, callee) AS b, min((caller, callee)) AS e FROM calls WHERE caller <> callee GROUP BY ALL),
+        region AS (SELECT 'n' || n_nationkey AS name, n_regionkey AS id FROM nation),
+        marked AS (SELECT e, x.id <> y.id AS across, least(p.degree, q.degree) <= 2 AND greatest(p.degree, q.degree) >= 5 AS hub
+          FROM first JOIN region x ON x.name = a JOIN region y ON y.name = b JOIN degrees p ON p.name = a JOIN degrees q ON q.name = b)
+      SELECT e[1] AS source, e[2] AS target, across::INT + hub::INT AS score, concat_ws(',', CASE WHEN across THEN 'cross-community' END, CASE WHEN hub THEN 'peripheral-to-hub' END) AS reasons
+      FROM marked WHERE across OR hub ORDER BY score DESC, source, target LIMIT 20""",
     "g19_overview": f"""WITH {HIER}, ranked AS (
         SELECT d.file, d.name, row_number() OVER (PARTITION BY d.file ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END, line, d.name) AS k
         FROM defines d WHERE EXISTS (FROM exports e WHERE e.file = d.file AND e.name = d.name))
