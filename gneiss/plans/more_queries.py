@@ -98,6 +98,10 @@ ORACLE_SQL = {
         FROM (SELECT user_id, event_type, event_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL GROUP BY ALL""",
     "k8_facts_size": f"""WITH {TRADE}, lines AS (SELECT 'defines(''src/nation.ts'', ' || name || ', ' || kind || ', ' || substr(name, 2) || ').' AS line FROM defines UNION ALL SELECT 'calls(' || caller || ', ' || callee || ').' FROM calls)
         SELECT sum(length(line) + 1)::BIGINT AS size, count(*) AS n FROM lines""",
+    "f14_lint": """WITH p AS (SELECT doc_id, regexp_replace(text, '[^()]', '', 'g') || CASE WHEN doc_id % 3 = 0 THEN '(' ELSE '' END AS s FROM documents),
+        c AS (SELECT doc_id, i, sum(CASE substr(s, i, 1) WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM p)),
+        e AS (SELECT doc_id, min(depth) AS low, max_by(depth, i) AS last FROM c GROUP BY doc_id)
+      SELECT doc_id, 1 AS fixes, CASE WHEN low >= 0 AND last > 0 THEN 1 ELSE 0 END AS unclosed FROM p LEFT JOIN e USING (doc_id)""",
     "w2_template_uses": _USES,
     "w4_promotable": f"SELECT name FROM ({_USES}) WHERE reuse_count >= 3 AND success_count / reuse_count >= 0.45",
 }
