@@ -24,6 +24,17 @@ def resolve_targets(graph: CodeGraph, target: str) -> DataFrame:
     return found.join(F.broadcast(best)).where("exact or not any_exact").select("node")  # best is one row
 
 
+def _with_target(graph: CodeGraph, rows: DataFrame, column: str, target: str) -> DataFrame:
+    """The rows whose column holds a node that target means, as resolve_targets has it, by filters alone."""
+    exact = F.col(column) == target
+    if "/" in target:
+        return rows.where(exact)
+    names = graph.defines.select("name").unionAll(graph.calls.select("caller")).unionAll(graph.calls.select("callee"))
+    best = names.where(F.col("name") == target).agg((F.count("*") > 0).alias("any_exact"))
+    found = rows.where(exact | F.endswith(F.col(column), F.lit("/" + target)))
+    return found.join(F.broadcast(best)).where(exact | ~F.col("any_exact"))  # best is one row
+
+
 def _directed(graph: CodeGraph, back: bool = False) -> DataFrame:
     a, b = ("callee", "caller") if back else ("caller", "callee")
     return graph.edges().select(F.col(a).alias("src"), F.col(b).alias("dst"))
@@ -39,11 +50,11 @@ def summary(graph: CodeGraph) -> DataFrame:
 
 def callers(graph: CodeGraph, target: str) -> DataFrame:
     """(name) of the distinct callers of what target means."""
-    return graph.edges().join(resolve_targets(graph, target), F.col("callee") == F.col("node"), "left_semi").select(F.col("caller").alias("name")).distinct()
+    return _with_target(graph, graph.calls, "callee", target).select(F.col("caller").alias("name")).distinct()
 
 
 def callees(graph: CodeGraph, source: str) -> DataFrame:
-    return graph.edges().join(resolve_targets(graph, source), F.col("caller") == F.col("node"), "left_semi").select(F.col("callee").alias("name")).distinct()
+    return _with_target(graph, graph.calls, "caller", source).select(F.col("callee").alias("name")).distinct()
 
 
 def reachability(graph: CodeGraph, source: str, target: str) -> DataFrame:
