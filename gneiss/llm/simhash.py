@@ -153,7 +153,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """docs with one row of each group: the one with the smallest id (null ids last; of equal ids, the smallest text hash), all columns."""
-    found = _grouped(docs, id_col, text_col, radius)
+    return first_rows(docs, _grouped(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that `found` (id, tid, first_id, first_tid) names as the first of their group, all columns."""
     stays = cut(found.where(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tid") == F.col("first_tid"))).groupBy("id", "tid").agg(F.count("*").alias("n")))
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(held.alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"))
