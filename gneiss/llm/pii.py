@@ -108,13 +108,19 @@ def _pick(values: tuple[str, ...], h: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), F.pmod(h, F.lit(len(values))).cast("int") + 1)
 
 
-def _name(value: Column, gender: str, script: str, salt: list[Column]) -> Column:
+def _surname(last: Column, script: str, salt: list[Column]) -> Column:
+    return F.initcap(F.concat(*(_pick(SYLLABLES[script], F.xxhash64(F.lit(f"last{k}"), last, *salt)) for k in range(6))))
+
+
+def _name(value: Column, gender: str, script: str, key: str, attempt: Column) -> Column:
+    """The attempt of the surname is in the upper bits. Later attempts of first names add syllables, one more each."""
+    of_last, of_first = F.shiftright(attempt, 16), attempt.bitwiseAND(F.lit(65535))
     parts = F.split(value, " ")
-    last = F.element_at(parts, -1)
-    h = lambda what, x, k=0: F.xxhash64(F.lit(f"{what}{k}"), x, *salt)
-    surname = F.initcap(F.concat(*(_pick(SYLLABLES[script], h("last", last, k)) for k in range(6))))
-    first = _pick(FIRST[gender, script], h("first", F.element_at(parts, 2)))
-    return F.when(F.size(parts) > 2, F.concat_ws(" ", F.element_at(parts, 1), first, surname)).otherwise(F.concat_ws(" ", F.element_at(parts, 1), surname))
+    first = F.element_at(parts, 2)
+    surname = _surname(F.element_at(parts, -1), script, [F.lit(key), of_last])
+    more = F.array_join(F.transform(F.sequence(F.lit(0), of_first + 1), lambda k: _pick(SYLLABLES[script], F.xxhash64(F.lit("more"), k, first, F.lit(key), of_first))), "")
+    given = F.concat(_pick(FIRST[gender, script], F.xxhash64(F.lit("first0"), first, F.lit(key), of_first)), F.when(of_first > 0, F.concat(F.lit("-"), F.initcap(more))).otherwise(""))
+    return F.when(F.size(parts) > 2, F.concat_ws(" ", F.element_at(parts, 1), given, surname)).otherwise(F.concat_ws(" ", F.element_at(parts, 1), surname))
 
 
 def _email(value: Column, salt: list[Column]) -> Column:
@@ -129,7 +135,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     out = F.when(kind == "phone", _digits(value, r"^(?:\+\d{1,3}(?=\D))?", salt)).otherwise(out)
     out = F.when(kind == "ipv4", _address(value, salt)).when(kind == "email", _email(value, salt)).otherwise(out)
     for g, s in TITLES:
-        out = F.when(kind == f"name_{g}_{s}", _name(value, g, s, salt)).otherwise(out)
+        out = F.when(kind == f"name_{g}_{s}", _name(value, g, s, key, attempt)).otherwise(out)
     return out
 
 
@@ -138,23 +144,40 @@ def _same(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lower(value)).otherwise(value)
 
 
-def later_attempts(docs: DataFrame, text_col: str, key: str, rounds: int = 20) -> DataFrame:
-    """(value, attempt) of the entities whose first replacement clashes; usually none. Distinct entities only are shuffled."""
-    known = docs.select(F.explode(F.regexp_extract_all(text_col, F.lit(ENTITY), F.lit(0))).alias("found"))
-    known = known.withColumn("kind", type_of(F.col("found"))).select("kind", _same(F.col("kind"), F.col("found")).alias("value")).distinct()
-    known = cut(known.withColumn("attempt", F.lit(0)))
-    for _ in range(rounds):
-        given = known.withColumn("given", surrogate(F.col("kind"), F.col("value"), key, F.col("attempt")))
+def _settled(known: DataFrame, give) -> DataFrame:
+    """known (kind, value, attempt) with attempts at which give(kind, value, attempt) is shared by no two values and is no value."""
+    least, idle = None, 0
+    while True:
+        given = known.withColumn("given", give(F.col("kind"), F.col("value"), F.col("attempt")))
         shared = given.groupBy("given").agg(F.min("value").alias("owner"), F.count("*").alias("n")).where("n > 1")
         second = given.join(shared, "given").where("value <> owner").select("value")
         real = given.join(known.select(F.col("value").alias("given")), "given", "left_semi").select("value")
         clash = cut(second.unionAll(real).distinct())
-        if not clash.limit(1).count():
-            break
+        n = clash.count()
+        if not n:
+            return known
+        least, idle = (n, 0) if least is None or n < least else (least, idle + 1)
+        if idle > 100:
+            raise RuntimeError("a format has too few values for its entities")
         known = cut(known.join(clash.withColumn("more", F.lit(1)), "value", "left").select("kind", "value", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
-    else:
-        raise RuntimeError("replacements still clash; take another key")
-    return known.where("attempt > 0").select("value", "attempt")
+
+
+def later_attempts(docs: DataFrame, text_col: str, key: str) -> DataFrame:
+    """(value, attempt) of the entities whose first replacement clashes; usually none. Distinct entities only are shuffled.
+
+    Surnames are settled before names, each with one attempt for all names that have it.
+    """
+    known = docs.select(F.explode(F.regexp_extract_all(text_col, F.lit(ENTITY), F.lit(0))).alias("found"))
+    known = known.withColumn("kind", type_of(F.col("found"))).select("kind", _same(F.col("kind"), F.col("found")).alias("value")).distinct()
+    known = cut(known.withColumn("last", F.when(F.col("kind").startswith("name_"), F.element_at(F.split("value", " "), -1))).withColumn("script", F.element_at(F.split("kind", "_"), -1)))
+    surnames = cut(known.where("last is not null").select(F.col("script").alias("kind"), F.col("last").alias("value")).distinct().withColumn("attempt", F.lit(0)))
+
+    def surname(kind: Column, value: Column, attempt: Column) -> Column:
+        return reduce(lambda e, s: F.when(kind == s, _surname(value, s, [F.lit(key), attempt])).otherwise(e), SYLLABLES, F.lit(None).cast("string"))
+
+    later = _settled(surnames, surname).where("attempt > 0").select(F.col("kind").alias("script"), F.col("value").alias("last"), F.shiftleft("attempt", 16).alias("attempt"))
+    known = cut(known.join(later, ["script", "last"], "left").select("kind", "value", F.coalesce("attempt", F.lit(0)).alias("attempt")))
+    return _settled(known, lambda k, v, a: surrogate(k, v, key, a)).where("attempt > 0").select("value", "attempt")
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

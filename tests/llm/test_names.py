@@ -1,0 +1,13 @@
+"""Surrogates of more names than there are fixed first names."""
+
+from gneiss.llm import pii
+from tests.llm.test_texts import make
+
+
+def test_many_first_names_keep_their_surname(spark):
+    names = [f"Mr {a}{b}{c} Smith" for a in "ABCDEFG" for b in "aeiou" for c in "lmnrst"]
+    rows = [(0, "Mr Smith"), *enumerate(names, 1), (999, names[7])]
+    got = {x.doc_id: x.text.split(" ") for x in pii.pseudonymize(make(spark, rows), "k").collect()}
+    assert {x[-1] for x in got.values()} == {got[0][1]} and got[0][1] != "Smith"
+    assert len({tuple(got[i]) for i in range(1, len(names) + 1)}) == len(names) == 210
+    assert got[999] == got[8]
