@@ -107,20 +107,20 @@ def inherited(own: DataFrame, extends: DataFrame, member: str, value: str) -> Da
     return best.select("class_name", member, F.col("x").getField(value).alias(value), F.col("x.ancestor").alias("owner"))
 
 
-def resolve_chains(pending: DataFrame, fields: DataFrame, most: int = 8) -> DataFrame:
+def resolve_chains(pending: DataFrame, fields: DataFrame) -> DataFrame:
     """pending with `type`: this/self is the enclosing class, another first step the type of that variable; each further step is a field of the type before.
 
     pending: receiver_chain array<string>, enclosing_class, var_types map<string,string>; fields: (class_name, field, type).
     """
     head = F.get("receiver_chain", F.lit(0))
     rows = pending.withColumn("type", F.when(head.isin("this", "self"), F.col("enclosing_class")).otherwise(F.try_element_at("var_types", head)))
-    longest = min(most, rows.agg(F.max(F.size("receiver_chain"))).first()[0] or 0)
+    longest = rows.agg(F.max(F.size("receiver_chain"))).first()[0] or 0
     lookup = fields.select(F.col("class_name").alias("of"), F.col("field").alias("step"), F.col("type").alias("next"))
     for k in range(1, longest):
         step = F.get("receiver_chain", F.lit(k))
         rows = rows.withColumn("wanted", step).join(lookup, (F.col("type") == F.col("of")) & (F.col("wanted") == F.col("step")), "left")
         rows = rows.withColumn("type", F.when(F.col("wanted").isNull(), F.col("type")).otherwise(F.col("next"))).drop("of", "step", "next", "wanted")
-    return rows.withColumn("type", F.when(F.size("receiver_chain") > longest, None).otherwise(F.col("type")))
+    return rows
 
 
 def variable_types(asked: DataFrame, bindings: DataFrame) -> DataFrame:
