@@ -2,14 +2,16 @@
 
 A token's encoding is inferred from its characters. Against its alphabet of m symbols three tests are made: chi-squared
 uniformity of the symbols, runs above and below the alphabet's middle, and serial correlation of neighbours. A token is
-a candidate while none of them, after Bonferroni's correction, rejects randomness. Its evidence is the probability that
-an ordinary token of its length would look as uniform: ordinary text in the same alphabet has a noncentral chi-squared
-with a noncentrality in proportion to the length, so short tokens have little evidence however even they are. The
+a candidate while none of them, after Bonferroni's correction, rejects randomness. Its evidence is how much likelier
+uniform symbols make it than a model of ordinary tokens (letters by frequency, steps between classes of characters):
+the chance that the model reaches a ratio of r is at most 1 / r. Of candidates that meet, the one with most evidence stays. The
 Benjamini-Hochberg procedure then holds the false-discovery rate within each stratum of lengths, over all documents.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +21,24 @@ from gneiss.llm.common import cut
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+PARTS = (r"[A-Za-z0-9+/_=-]{20,}",)
+TOKEN = PARTS[0]
 KINDS = ("assign", "access", "hex", "random")
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: name, what a token of it looks like, its symbols, and the effect size of ordinary text: m * sum(p * p) - 1, with
-#: sum(p * p) of 0.066 for letters of running text and 0.1 for digits.
+#: name, what a token of it looks like, its symbols.
 ENCODINGS = (
-    ("hex", r"^(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef", 0.60),
-    ("HEX", r"^(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF", 0.60),
-    ("base32", r"^(?=.*[2-7])[A-Z2-7]+=*$", _UPPER + "234567", 1.11),
-    ("alnum", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS, 3.09),
-    ("base64", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/", 3.22),
-    ("base64url", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_", 3.22),
+    ("hex", r"^(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef"),
+    ("HEX", r"^(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    ("base32", r"^(?=.*[2-7])[A-Z2-7]+=*$", _UPPER + "234567"),
+    ("alnum", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
+    ("base64", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
+)
+#: Frequency of letters in 10,000, and steps between classes: ordinary tokens, and those in capitals.
+LETTERS = dict(zip(_LOWER, (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)))
+STEPS = (
+    {"LL": 0.9, "LU": 0.02, "LD": 0.03, "LS": 0.05, "UL": 0.6, "UU": 0.3, "UD": 0.05, "US": 0.05, "DD": 0.8, "DL": 0.06, "DU": 0.06, "DS": 0.08, "SL": 0.6, "SU": 0.2, "SD": 0.15, "SS": 0.05},
+    {"LL": 0.3, "LU": 0.6, "LD": 0.05, "LS": 0.05, "UL": 0.01, "UU": 0.9, "UD": 0.04, "US": 0.05, "DD": 0.8, "DL": 0.01, "DU": 0.11, "DS": 0.08, "SL": 0.05, "SU": 0.75, "SD": 0.15, "SS": 0.05},
 )
 STRATA = (24, 32, 48, 64)  # lengths at which a stratum begins, after the first
 BINS = 400  # of -10 log10(p)
@@ -67,6 +75,18 @@ def _spans(text: Column, pattern: str, kind: int, wanted: Column | None = None)
     return F.when(text.rlike(pattern), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
+def _log_text(token: Column) -> Column:
+    """The logarithm of the probability of a token in the likelier model of ordinary tokens."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[^A-Za-z0-9]", "_"), "[0-9]", "5"), "[a-z]", "l"), "[A-Z]", "u")
+    kinds = F.upper(F.translate(kinds, "_5", "sd"))
+    score = {c: math.log(0.9 * n / 10_010 + 0.1 / 26) for c, n in LETTERS.items()} | {c: math.log(0.1) for c in _DIGITS} | {c: math.log(0.25) for c in "+/_-"}
+    look = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    total = lambda values, table: F.aggregate(values, F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(table, c), F.lit(0.0)))
+    steps = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substr(kinds, i, F.lit(2)))
+    likelier = F.greatest(*(total(steps, look({k: math.log(v) for k, v in t.items()})) for t in STEPS))
+    return total(F.split(F.lower(token), ""), look(score)) + likelier
+
+
 def _battery(token: Column) -> Column:
     """struct(random: whether randomness stands, p: evidence) of a token; null if it has no encoding."""
     bare = F.rtrim(token, F.lit("="))
@@ -74,8 +94,7 @@ def _battery(token: Column) -> Column:
     for k in range(len(ENCODINGS) - 1, -1, -1):
         which = F.when(token.rlike(ENCODINGS[k][1]), k).otherwise(which)
     alphabet = F.element_at(F.array(*(F.lit(e[2]) for e in ENCODINGS)), which + 1)
-    effect = F.element_at(F.array(*(F.lit(e[3]) for e in ENCODINGS)), which + 1)
-    shape = F.struct(bare.alias("t"), alphabet.alias("a"), effect.alias("e"), F.transform(F.split(bare, ""), lambda c: F.instr(alphabet, c)).alias("x"))
+    shape = F.struct(bare.alias("t"), alphabet.alias("a"), F.transform(F.split(bare, ""), lambda c: F.instr(alphabet, c)).alias("x"))
 
     def tests(s: Column) -> Column:
         n, m = F.length(s["t"]).cast("double"), F.length(s["a"]).cast("double")
@@ -95,12 +114,12 @@ def _battery(token: Column) -> Column:
             ((chi - (m - 1)) / F.sqrt(2 * (m - 1))).alias("chi_z"),
             F.when(runs_var > 0, (runs - 1 - both / n) / F.sqrt(runs_var)).otherwise(F.lit(9.0)).alias("runs_z"),
             ((serial + 1 / n) * F.sqrt(n)).alias("serial_z"),
-            ((m - 1 + s["e"] * n - chi) / F.sqrt(2 * (m - 1 + 2 * s["e"] * n))).alias("text_z"),
+            F.least(F.lit(0.0), _log_text(s["t"]) + n * F.log(m)).alias("log_p"),
         )
 
     def verdict(z: Column) -> Column:
         p = F.least(_upper_tail(z["chi_z"]), 2 * _upper_tail(F.abs(z["runs_z"])), 2 * _upper_tail(F.abs(z["serial_z"])))
-        return F.struct((3 * p > 0.001).alias("random"), _upper_tail(z["text_z"]).alias("p"))
+        return F.struct((3 * p > 0.001).alias("random"), F.exp(z["log_p"]).alias("p"))
 
     once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  value is computed once
     return F.when(which.isNotNull() & (F.length(bare) >= 20), once(once(shape, tests), verdict))
@@ -118,13 +137,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= 6)
     base = F.concat(_spans(text, ASSIGN, 0, long_enough), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
-    tokens, starts = _located(text, TOKEN)
+    located = [_located(text, p) for p in PARTS]
+    pieces = F.array_distinct(F.concat(*(F.zip_with(t, s, lambda x, y: F.struct(x.alias("t"), y.alias("start"))) for t, s in located)))
     candidate = "array<struct<start:int,end:int,stratum:int,bin:int>>"
-    tested = F.filter(F.zip_with(tokens, starts, lambda t, s: F.struct(s.alias("start"), F.length(t).alias("n"), _battery(t).alias("b"))), lambda x: x["b"]["random"])
+    tested = F.filter(F.transform(pieces, lambda x: F.struct(x["start"], F.length(x["t"]).alias("n"), _battery(x["t"]).alias("b"))), lambda x: x["b"]["random"])
     stratum = lambda n: sum((F.when(n >= k, 1).otherwise(0) for k in STRATA), F.lit(0))
     log = lambda p: F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
     found = F.transform(tested, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["n"]).alias("end"), stratum(x["n"]).alias("stratum"), F.greatest(F.lit(0), log(x["b"]["p"])).alias("bin")))
-    found = F.when(text.rlike(TOKEN), found.cast(candidate)).otherwise(F.array().cast(candidate))
+    first = F.array_sort(F.transform(found, lambda x: F.struct((-x["bin"]).alias("k"), (x["start"] - x["end"]).alias("m"), x.alias("x"))))
+    apart = lambda kept, x: ~F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    found = F.aggregate(F.transform(first, lambda x: x["x"].cast(candidate[6:-1])), F.array().cast(candidate), lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    found = F.when(text.rlike(TOKEN), F.array_sort(found).cast(candidate)).otherwise(F.array().cast(candidate))
     rows = cut(rows.select("id", F.array_sort(base).alias("base"), found.alias("found")))
     counts = rows.select(F.explode("found").alias("x")).groupBy("x.stratum", "x.bin").agg(F.count("*").alias("n")).collect()
     least = []
