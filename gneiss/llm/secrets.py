@@ -21,7 +21,8 @@ from gneiss.llm.common import cut
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-PARTS = (r"[A-Za-z0-9+/_=-]{20,}",)
+#: Runs, and the parts of them between '/', between '_' and '-', and between all three; '=' only pads.
+PARTS = tuple("[A-Za-z0-9" + more + "]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?" for more in ("+/_-", "+_-", "+/", "+"))
 TOKEN = PARTS[0]
 KINDS = ("assign", "access", "hex", "random")
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"

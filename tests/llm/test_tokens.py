@@ -18,6 +18,11 @@ def test_random_tokens_of_each_encoding(spark):
                 t = "".join(r.choice(a) for _ in range(n))
                 want.setdefault((name, n), []).append((len(rows), 4, 4 + n))
                 rows.append(f"see {t} here")
+    for front in ("AWS_KEY=", "sig=", "x/hook/T0/"):
+        for _ in range(12):
+            t = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(40))
+            want.setdefault(front, []).append((len(rows), len(front), len(front) + 40))
+            rows.append(front + t + ("_a-b" if "/" in front else ""))
     plain = len(rows)
     rows += ["INTERNATIONALIZATION2 and getUserNameFromDatabase2 at src/Main/java/Handlers/Request_Handler"] * 5
     got = {x.doc_id: x for x in secrets.scan(make(spark, list(enumerate(rows)))).collect()}
