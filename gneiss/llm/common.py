@@ -5,14 +5,39 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gneiss.operators.fixpoint import checkpointed as cut
 from gneiss.operators.fixpoint import components
 
-__all__ = ["by_bytes", "components", "cut", "shared_dir", "stored", "table"]
+__all__ = ["by_bytes", "components", "cut", "once", "running_totals", "shared_dir", "stored", "table"]
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f uses it; also inside the functions of arrays."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running_totals(values: Column, chunk: int = 512) -> Column:
+    """The sums of an array's first 1, 2, 3 ... ints. An array is copied for each of its elements, so it goes in chunks."""
+
+    def within(x: Column) -> Column:
+        begun = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
+        add = lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.concat(a["sums"], F.array(a["sum"] + v)).alias("sums"))
+        return F.aggregate(x, begun, add, lambda a: a["sums"])
+
+    def joined(chunks: Column) -> Column:
+        before = within(F.concat(F.array(F.lit(0)), F.transform(F.slice(chunks, F.lit(1), F.size(chunks) - 1), lambda c: F.element_at(c, -1))))
+        return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(c, lambda x: x + b)))
+
+    def chunked(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / chunk).cast("int")), lambda c: within(F.slice(x, c * chunk + 1, F.lit(chunk))))
+        return F.when(F.size(x) > 0, once(parts, joined)).otherwise(F.array().cast("array<int>"))
+
+    return once(values, chunked)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
