@@ -8,6 +8,7 @@ false positives; the language with the largest corrected share decides.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,9 @@ _letters: list[np.ndarray] = []
 
 
 def _is_letter() -> np.ndarray:
+    """Letters, and the marks that stand with letters in many scripts."""
     if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+        _letters.append(np.fromiter((chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -96,20 +98,30 @@ class Filters:
         return np.clip((hits - expected) / np.maximum((1 - self.false_rate) * np.maximum(total, 1)[:, None], 1e-9), 0, 1)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = 2000, least: float = 0.01, slots: int = 1 << 20, hashes: int = 2) -> Filters:
-    """Learns from about `sample` texts of each language (those with the smallest hashed keys; all where there are fewer).
+def fit(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = 2000, least: float = 0.01, slots: int = 1 << 20, hashes: int = 2, most_languages: int = 1024
+) -> Filters:
+    """Learns from about `sample` texts of each language (those with the smallest hashes of key and text; all where there are fewer).
 
     An n-gram enters the filter of each language of which at least `least` of the sampled texts, and two, hold it and
     hold it at least half as often as in the language where it is most frequent. What reaches the driver is bounded
-    by languages * (n-grams in a text) / least.
+    by languages * (n-grams in a text) / least. Rows with a null text or language teach nothing; keys may be null or
+    repeated; of rows alike in key and text all are drawn or none, and the smallest hash of a language always is. Extra
+    columns are not read. An empty table gives filters of no language. More than `most_languages` values of the
+    language raise ValueError before anything is gathered: filters take slots / 8 bytes for each.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {x.lang: x.n for x in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), hashed.alias("h"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).limit(most_languages + 1).collect()
+    if len(counted) > most_languages:
+        raise ValueError(f"over {most_languages} languages")
+    counts = {x.lang: x.n for x in counted}
     languages = sorted(counts)
     if not languages:
         return Filters.build([], [], slots, hashes)
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / counts[k]))))
-    drawn = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key_col)), 11) / F.lit(float(1 << 53)) < F.element_at(share, F.col(lang_col)))
+    limits = {x.lang: max(x.first, min(1.0, sample / x.n)) for x in counted}
+    share = F.create_map(*(F.lit(x) for k in languages for x in (k, limits[k])))
+    drawn = rows.where(F.col("h") <= F.element_at(share, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +139,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([k for k in langs.tolist()], pa.string()), pa.array([0] * len(langs), pa.int64()), pa.array([1] * len(langs), pa.int64())], names=["lang", "gram", "n"])
 
-    seen = drawn.select(text_col, lang_col).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    seen = drawn.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # n-gram 0 stands for the texts; its row holds the number of sampled texts; a language has at least count * share of them, so this filter only drops what the next one would
     floor = F.create_map(*(F.lit(x) for k in languages for x in (k, float(max(2.0, 0.5 * least * min(sample, counts[k]))))))
     got = seen.where((F.col("gram") == 0) | (F.col("n") >= F.element_at(floor, F.col("lang")))).toPandas()
