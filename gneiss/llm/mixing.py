@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import cut
+
 #: Means above this are drawn as sums of equal parts, where exp(-mean) and the table of the distribution stay in range.
 PART = 32.0
 #: Sources that are broadcast at most; beyond, the rates are joined by a shuffle that splits skewed keys.
@@ -19,7 +21,7 @@ BROADCAST_SOURCES = 10_000
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, epochs: float = 1.0, source_col: str = "source") -> DataFrame:
     """(source, n, rate, cdf, parts). weights: target weights by source (others: none); without, n ** temperature."""
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    counts = cut(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")))  # the table is read once for this
     if weights is None:
         weight = F.pow("n", F.lit(temperature))
     else:
