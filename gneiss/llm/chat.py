@@ -15,6 +15,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 @functools.cache
-def encoder(path: str):
+def encoder(described: str):
+    """The encoder that a vocabulary file's contents describe, with our marks."""
     from tokenizers import AddedToken, Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_str(described)
     t.pre_tokenizer = ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
     t.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (TURN, TEXT, END)])
     return t
@@ -99,15 +101,18 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     grouped = rows.groupBy("conv").agg(F.sort_array(F.collect_list("x")).alias("turns"))
     grouped = grouped.select("conv", F.transform("turns", lambda x: F.coalesce(x["role"], F.lit(""))).alias("roles"), F.transform("turns", lambda x: F.coalesce(x["text"], F.lit(""))).alias("texts"))
 
+    with open(tokenizer, encoding="utf-8") as file:  # on the driver; of a vocabulary's fixed size
+        sent = conversations.sparkSession.sparkContext.broadcast(file.read())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(sent.value)
         for batch in batches:
             roles, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rendered = [render(list(zip(r, t))) for r, t in zip(roles, texts)]
             for a, b in by_bytes([x for x, _ in rendered], 1 << 20):
                 ids, masks, spans = [], [], []
                 for (_, places), names, found in zip(rendered[a:b], roles[a:b], encode.encode_batch([x for x, _ in rendered[a:b]], add_special_tokens=False)):
-                    offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
+                    offsets = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(found)).reshape(-1, 2)
                     mask, covered = loss_mask(offsets, places, np.array([n in train for n in names], bool))
                     ids.append(pa.array(found.ids, pa.int32()))
                     masks.append(pa.array(mask))
