@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gneiss.operators.fixpoint import checkpointed as cut
 from gneiss.operators.fixpoint import components
 
-__all__ = ["by_bytes", "components", "cut", "once", "running_totals", "shared_dir", "stored", "table"]
+__all__ = ["by_bytes", "components", "cut", "dropped", "once", "running_totals", "shared_dir", "stored", "table"]
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -62,6 +62,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that this session wrote and no plan reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def by_bytes(texts: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about `most` bytes, so that a worker's memory doesn't follow the batch's rows."""
     begin = size = 0

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -30,6 +31,60 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(docs.limit(3), nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_fit_draws_rows_not_ids(spark):
+    """Null and equal ids, repeated rows, one language with one text, junk languages, columns of other names."""
+    texts = {"en": "the house and the garden of the old man were", "de": "das Haus und der Garten des alten Mannes waren", "hi": "यह एक पुराना घर और बगीचा है"}
+    rows = [(None, f"{t} {k}", lang, 1) for lang, t in texts.items() for k in range(300 if lang != "hi" else 2)]
+    rows += [(None, None, "en", 1), (None, "no language", None, 1), (None, "", "en", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, gram int")
+    for docs in (df, df.withColumn("doc_id", F.lit(7)), df.unionAll(df)):
+        filters = language.fit(docs, sample=10)
+        assert filters.languages == ["de", "en", "hi"]
+        got = language.identify(df.where("lang is not null"), filters, ["lang", "text"]).collect()
+        assert all(x.lang_pred == x.row.lang and x.score > 0.5 for x in got if x.row.text)
+    with pytest.raises(ValueError):
+        language.fit(df.withColumn("lang", F.expr("uuid()")), most_languages=50)
+
+
+def shares(text, filters):
+    """A text's corrected shares, n-gram by n-gram."""
+    cleaned = [c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text.lower()]
+    padded = " " + "".join(c for k, c in enumerate(cleaned) if c != " " or (k and cleaned[k - 1] != " ")) + " "
+    padded = " ".join(["", *padded.split(), ""])
+    found = []
+    for n in (3, 4):
+        for k in range(len(padded) - n + 1):
+            if padded[k + 1] == " " or (n == 4 and padded[k + 2] == " "):
+                continue
+            h = 0
+            for c in padded[k : k + n]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 + n) % 2**64
+            found.append(h ^ (h >> 32))
+    slots = filters.masks.shape[1]
+    count = [0] * len(filters.languages)
+    for h in found:
+        mask = 2**64 - 1
+        for j in range(filters.hashes):
+            mask &= int(filters.masks[0][((h & 0xFFFFFFFF) + j * ((h >> 32) | 1)) % slots])
+        for k in range(len(count)):
+            count[k] += mask >> k & 1
+    n = max(len(found), 1)
+    return [min(1, max(0, (c - len(found) * f) / ((1 - f) * n))) for c, f in zip(count, filters.false_rate)]
+
+
+def test_predictions_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    filters = language.fit(docs.where("doc_id % 4 <> 2"))
+    odd = spark.createDataFrame([(-1, "  12 \n a"), (-2, "ab-cd  e\u0301f"), (-3, None), (-4, "...")], "doc_id long, text string")
+    for x in language.identify(docs.select("doc_id", "text").unionAll(odd), filters, ["doc_id", "text"]).collect():
+        if not any(map(str.isalpha, x.row.text or "")):
+            assert (x.lang_pred, x.score) == ("und", 0)
+            continue
+        want = shares(x.row.text, filters)
+        assert math.isclose(x.score, max(want), abs_tol=1e-9) and x.lang_pred == filters.languages[want.index(max(want))], x.row.text
+
+
 def test_bloom_filters_hold_all_members():
     r = np.random.default_rng(1)
     members = [r.integers(0, 1 << 63, 3000).astype(np.uint64) for _ in range(70)]
@@ -89,7 +144,7 @@ def test_chats(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         want[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(chat.render(turns)[0]))
     assert {x[0]: tuple(x)[1:] for x in chat.digests(made).collect()} == want
-    encode = chat.encoder(chat.TOKENIZER)
+    encode = chat.encoder(open(chat.TOKENIZER, encoding="utf-8").read())
     for x in made.collect():
         assert encode.decode(x.token_ids, skip_special_tokens=False) == x.formatted
         assert len(x.token_ids) == len(x.loss_mask)
@@ -122,11 +177,32 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    last = len(corpus_pipeline.STAGES) - 1
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, SF)
-        if k + 1 < len(corpus_pipeline.STAGES):
+        if k < last:
             assert out.dtypes == docs.dtypes
             docs = spark.createDataFrame(out.collect(), out.schema)
+    out = out.collect()
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted((tuple(x[c] for c in docs.columns) for x in out), key=key) == sorted(map(tuple, docs.collect()), key=key) != []
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(map(str, got)) == sorted(map(str, out))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3 + [(1, "", "en", "s", 0), (2, "the house and the garden " * 9, "en", None, 1), (2, "the house and the garden " * 9, "en", None, 1), (3, " ".join(f"the house {k} and the garden" for k in range(20_000)), "en", "s", 5)]])
+def test_stages_on_odd_tables(spark, rows):
+    """Empty tables, nulls, empty and long texts, repeated rows, columns that clash."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(*r, "a", 1, "b") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, shard int, slot string")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        kept = out.collect()
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.dtypes == docs.dtypes, name
+            docs = spark.createDataFrame(kept, out.schema)
         else:
-            assert out.count() == docs.count() > 0
-    assert sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "shard").collect())) == sorted(map(str, out.select("doc_id", "shard").collect()))
+            assert {"text", "source", "size", "row"} < set(out.columns) and len(out.columns) == len(set(out.columns))
+        if k == 1 and rows:
+            assert [x.doc_id for x in sorted(kept)] == [2, 3]
