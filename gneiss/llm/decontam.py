@@ -1,10 +1,13 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-The documents are worked in shards (a few MB of text each). A shard's word sequence becomes a suffix array; each
-test window is binary-searched in it, which gives all its occurrences as one range of the array. Words that no
-benchmark item has end a stretch: suffixes that begin in a stretch shorter than the shortest window can't match and
-are not sorted. The benchmark, a stated query set, goes to the shards in blocks of bounded size; each block is
-another narrow pass, so no document is ever shuffled.
+The documents are worked in shards (a few MB of text each). The suffixes of a shard's word sequence are sorted by
+prefix doubling; each test suffix that begins a window is binary-searched in that array, which gives all places where
+its window occurs as one range. Places that follow one another in a document and in an item are one verbatim match, as
+long as it can be, with its locations. Only stretches that can hold a window are sorted: each of their short runs of
+words (a few words, as many as fit a 64-bit key) occurs in some test.
+
+The benchmark, a stated query set, goes to the shards in blocks of bounded size. One block is a narrow pass over the
+documents. Of several, each is a pass of its own that writes the texts it hits, and these are put together at the end.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import by_bytes
+from gneiss.llm.common import by_bytes, stored
 
 #: Bytes to words: A-Z lower-cased; all ASCII but digits and letters separates.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -28,182 +31,237 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Tests:
-    """The windows of a block of benchmark items, as a sorted table that shards can be searched for."""
+    """The suffixes of a block of benchmark items, side by side: words by number, 0 after each item."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[str | None] = []
-        owners: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        words, item, offset, width, starts = [], [], [], [], []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if not ids:
+            n = len(ids)
+            if not n:
                 continue
-            width = min(window, len(ids))
-            for o in range(len(ids) - width + 1):
-                owners.setdefault(tuple(ids[o : o + width]), []).append((len(self.items), o))
+            w = min(window, n)
+            words += [*ids, 0]
+            item.append(np.full(n + 1, len(self.items), np.int32))
+            offset.append(np.arange(n + 1, dtype=np.int32))
+            width.append(np.full(n + 1, w, np.int32))
+            starts.append(np.arange(n + 1) <= n - w)
             self.items.append(name)
+        self.any = bool(words)
+        if not self.any:
+            return
+        self.item, self.offset, self.width = np.concatenate(item), np.concatenate(offset), np.concatenate(width)
+        self.suffixes = np.flatnonzero(np.concatenate(starts))  # those that begin a window
         self.bits = max(1, (len(self.vocabulary) + 1).bit_length())
         self.per = 63 // self.bits
-        self.depth = max(map(len, owners), default=0)
-        self.columns = -(-self.depth // self.per) if owners else 0
-        windows = list(owners)
-        self.length = np.array([len(w) for w in windows], np.int64)
-        self.shortest = int(self.length.min()) if windows else 0
-        self.low = self._keys(windows, 0)
-        self.high = self._keys(windows, (1 << self.bits) - 1)
-        own = [owners[w] for w in windows]
-        self.own_at = np.cumsum([0, *map(len, own)])
-        self.own_item = np.array([x for o in own for x, _ in o], np.int64)
-        self.own_offset = np.array([x for o in own for _, x in o], np.int64)
-
-    def _keys(self, windows: list[tuple[int, ...]], fill: int) -> list[np.ndarray]:
-        full = np.full((len(windows), self.columns * self.per), fill, np.int64)
-        for k, w in enumerate(windows):
-            full[k, : len(w)] = w
-        return self._pack([full[:, j] for j in range(self.columns * self.per)])
-
-    def _pack(self, by_place: list[np.ndarray]) -> list[np.ndarray]:
-        out = []
-        for c in range(self.columns):
-            key = by_place[c * self.per]
-            for x in by_place[c * self.per + 1 : (c + 1) * self.per]:
-                key = (key << self.bits) | x
-            out.append(key)
-        return out
+        self.shortest, self.longest = int(self.width.min()), int(self.offset.max())
+        self.gram = min(self.per, self.shortest)
+        self.keys = self.pack(np.array(words, np.int64))
+        self.grams = self.keys >> (self.bits * (self.per - self.gram))
+        self.known = np.unique(self.grams[self.suffixes])
+        inner = self.grams[self.full(self.keys, self.gram)]
+        self.members = np.unique(inner)
+
+    def pack(self, ids: np.ndarray) -> np.ndarray:
+        """By position: the next `per` words in one number, zeros from the first 0 on; and zeros behind the end."""
+        key, alive = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+        padded = np.append(ids, np.zeros(self.per, np.int64))
+        for j in range(self.per):
+            x = padded[j : j + len(ids)]
+            alive &= x != 0
+            key = (key << self.bits) | np.where(alive, x, 0)
+        return np.append(key, np.zeros(self.longest + self.per + 1, np.int64))
+
+    def full(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """Positions with n words before a 0."""
+        return np.flatnonzero((keys >> (self.bits * (self.per - n))) & ((1 << self.bits) - 1))
+
+    def _sorted(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """The suffix array of n positions: sorted by their words up to the first 0, as far as any item reaches."""
+        _, rank = np.unique(keys[:n], return_inverse=True)
+        h = self.per
+        while h < self.longest and rank.max(initial=0) + 1 < n:
+            after = np.append(rank[h:] + 1, np.zeros(min(h, n), np.int64))
+            _, finer = np.unique(rank * np.int64(n + 2) + after, return_inverse=True)
+            if finer.max() == rank.max():
+                break
+            rank, h = finer, 2 * h
+        return np.argsort(rank, kind="stable")
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, window) of every occurrence of every window in ids, where 0 is a word that no item has."""
+        """(position, test suffix) of every occurrence of every window in ids, where 0 is a word that no item has."""
         none = np.zeros(0, np.int64)
-        if not self.columns or not len(ids):
+        if not self.any or not len(ids):
             return none, none
-        stops = np.append(np.flatnonzero(ids == 0), len(ids))
-        stretch = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
-        at = np.flatnonzero(stretch >= self.shortest)
-        if not len(at):
+        grams = self.pack(ids)[: len(ids)] >> (self.bits * (self.per - self.gram))
+        place = np.minimum(np.searchsorted(self.members, grams), len(self.members) - 1)
+        member = self.members[place] == grams
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], member.astype(np.int8), [0]])))
+        begin, end = edges[::2], edges[1::2]
+        keep = end - begin >= self.shortest - self.gram + 1
+        begin, end = begin[keep], end[keep] + self.gram - 1
+        if not len(begin):
             return none, none
-        padded = np.append(ids, np.zeros(self.columns * self.per, np.int64))
-        keys = self._pack([padded[at + j] for j in range(self.columns * self.per)])
-        order = np.lexsort(keys[::-1])
-        suffixes, keys = at[order], [k[order] for k in keys]
-        begin, end = self._bound(keys, self.low, False), self._bound(keys, self.high, True)
-        count = end - begin
-        window = np.repeat(np.arange(len(count)), count)
-        return suffixes[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())], window
-
-    @staticmethod
-    def _bound(keys: list[np.ndarray], wanted: list[np.ndarray], after: bool) -> np.ndarray:
-        """Binary search of all wanted keys at once: the first place whose key isn't less (after: is greater)."""
-        low, high = np.zeros(len(wanted[0]), np.int64), np.full(len(wanted[0]), len(keys[0]), np.int64)
+        size = end - begin + 1  # with a 0 after each stretch
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        words = ids[np.minimum(at, len(ids) - 1)]
+        words[np.cumsum(size) - 1] = 0
+        keys = self.pack(words)
+        order = self._sorted(keys, len(words))
+        mine = np.unique(keys[: len(words)] >> (self.bits * (self.per - self.gram)))
+        t = self.suffixes
+        spot = np.minimum(np.searchsorted(mine, self.grams[t]), len(mine) - 1)
+        t = t[mine[spot] == self.grams[t]]
+        low, high = self._bound(keys, order, t, False), self._bound(keys, order, t, True)
+        count = high - low
+        return at[order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]], np.repeat(t, count)
+
+    def _bound(self, keys: np.ndarray, order: np.ndarray, t: np.ndarray, after: bool) -> np.ndarray:
+        """Binary search of all test suffixes at once, by the words of their windows: the first place whose suffix isn't less (after: is greater)."""
+        low, high = np.zeros(len(t), np.int64), np.full(len(t), len(order), np.int64)
+        width = self.width[t]
+        columns = -(-int(width.max(initial=0)) // self.per)
+        shift = [self.bits * np.clip(self.per - (width - c * self.per), 0, self.per) for c in range(columns)]
+        want = [self.keys[np.minimum(t + c * self.per, len(self.keys) - 1)] >> shift[c] for c in range(columns)]
         while (open_ := low < high).any():
-            mid = np.minimum((low + high) // 2, len(keys[0]) - 1)
+            mid = np.minimum((low + high) // 2, len(order) - 1)
             less, even = np.zeros(len(mid), bool), np.ones(len(mid), bool)
-            for have, want in zip(keys, wanted):
-                x = have[mid]
-                less |= even & (x < want)
-                even &= x == want
+            for c in range(columns):
+                x = keys[np.minimum(order[mid] + c * self.per, len(keys) - 1)] >> shift[c]
+                less |= even & (x < want[c])
+                even &= x == want[c]
             if after:
                 less |= even
             low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
         return low
 
 
-def _scan(tests_of, text_too: bool):
+_MATCH = pa.struct([("item", pa.string()), ("begin", pa.int32()), ("item_begin", pa.int32()), ("words", pa.int32())])
+_FOUND = "n_words long, n_hit long, spans array<int>, items array<string>, longest int, matches array<struct<item:string,begin:int,item_begin:int,words:int>>"
+_NAMES = ["n_words", "n_hit", "spans", "items", "longest", "matches"]
+
+
+def _covered(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The stretches (begin, end) that intervals, sorted by begin, cover together."""
+    if not len(begin):
+        return np.zeros((0, 2), np.int64)
+    reach = np.maximum.accumulate(end)
+    fresh = np.append(True, begin[1:] > reach[:-1])
+    return np.stack([begin[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]], axis=1)
+
+
+def _shard(tests: Tests, texts: list[bytes | None]) -> list[tuple]:
+    """The values of _FOUND for each text of a shard."""
+    known = tests.vocabulary.get
+    parts, limits = [np.zeros(0, np.int64)], [0]
+    for t in texts:
+        words = words_of(t)
+        parts += [np.fromiter(map(known, words, repeat(0)), np.int64, len(words)), np.zeros(1, np.int64)]
+        limits.append(limits[-1] + len(words) + 1)
+    out = [(limits[k + 1] - limits[k] - 1, 0, [], [], 0, []) for k in range(len(texts))]
+    at, suffix = tests.search(np.concatenate(parts))
+    if not len(at):
+        return out
+    item, diagonal, width = tests.item[suffix], at - tests.offset[suffix], tests.width[suffix]
+    order = np.lexsort((at, diagonal, item))
+    at, item, diagonal, width = at[order], item[order], diagonal[order], width[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    words = np.diff(np.append(first, len(at))) + width[first] - 1
+    begin, item, diagonal = at[first], item[first], diagonal[first]
+    order = np.argsort(begin, kind="stable")
+    begin, item, diagonal, words = begin[order], item[order], diagonal[order], words[order]
+    cuts = np.searchsorted(begin, limits)
+    for k in np.flatnonzero(np.diff(cuts)):
+        mine = slice(cuts[k], cuts[k + 1])
+        b, n = begin[mine] - limits[k], words[mine]
+        spans = _covered(b, b + n)
+        named = [tests.items[i] for i in item[mine]]
+        matches = [dict(zip(("item", "begin", "item_begin", "words"), x)) for x in zip(named, b.tolist(), (begin[mine] - diagonal[mine]).tolist(), n.tolist())]
+        out[k] = (out[k][0], int((spans[:, 1] - spans[:, 0]).sum()), spans.ravel().tolist(), sorted({x for x in named if x is not None}), int(n.max()), matches)
+    return out
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.list_(_MATCH)]
+    return [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+
+
+def _scan(sent, hits_only: bool):
+    """From (row, text): row, and what _FOUND says of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests: Tests = tests_of()
-        known = tests.vocabulary.get
+        tests: Tests = sent.value
         for batch in batches:
             raw = batch.column(1).cast(pa.binary()).to_pylist()
-            old_spans, old_items, old_longest = (batch.column(k) for k in (2, 3, 4))
-            n_words, n_hit, all_spans, all_items, longest = [], [], [], [], []
             for a, b in by_bytes(raw):
-                parts, limits, sizes = [], [0], []
-                for t in raw[a:b]:
-                    words = words_of(t)
-                    parts += [np.fromiter(map(known, words, repeat(0)), np.int64, len(words)), np.zeros(1, np.int64)]
-                    sizes.append(len(words))
-                    limits.append(limits[-1] + len(words) + 1)
-                at, window = tests.search(np.concatenate(parts))
-                starts = np.array(limits)
-                doc = np.searchsorted(starts, at, "right") - 1
-                cover = np.zeros(limits[-1] + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + tests.length[window] if len(at) else at, -1)
-                for k in np.flatnonzero([old_spans[i].values is not None and len(old_spans[i].values) > 0 for i in range(a, b)]):
-                    x = np.array(old_spans[a + k].as_py()).reshape(-1, 2) + starts[k]
-                    np.add.at(cover, x[:, 0], 1)
-                    np.add.at(cover, x[:, 1], -1)
-                hit = np.append(np.cumsum(cover[:-1]) > 0, False)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8)])))
-                owns = tests.own_at[window + 1] - tests.own_at[window] if len(at) else np.zeros(0, np.int64)
-                owner = np.repeat(tests.own_at[window] - (np.cumsum(owns) - owns), owns) + np.arange(owns.sum()) if len(at) else at
-                pair_doc, pair_item = np.repeat(doc, owns), tests.own_item[owner] if len(at) else at
-                place = np.repeat(at, owns)
-                diagonal = place - (tests.own_offset[owner] if len(at) else at)
-                best = np.zeros(b - a, np.int64)
-                if len(at):
-                    o = np.lexsort((place, diagonal, pair_item, pair_doc))
-                    d, i, g, p = pair_doc[o], pair_item[o], diagonal[o], place[o]
-                    fresh = np.ones(len(o), bool)
-                    fresh[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1] + 1)
-                    f = np.flatnonzero(fresh)
-                    width = np.repeat(tests.length[window], owns)[o][f]
-                    np.maximum.at(best, d[f], np.diff(np.append(f, len(o))) + width - 1)
-                    d, i = np.unique(np.stack([d, i]), axis=1)
-                else:
-                    d = i = at
-                edge_doc = np.searchsorted(starts, edges[::2], "right") - 1
-                for k in range(b - a):
-                    mine = edges.reshape(-1, 2)[edge_doc == k] if len(edges) else edges.reshape(0, 2)
-                    n_words.append(sizes[k])
-                    n_hit.append(int((mine[:, 1] - mine[:, 0]).sum()))
-                    all_spans.append((mine - starts[k]).ravel().tolist())
-                    names = {tests.items[x] for x in i[d == k]} | set(old_items[a + k].as_py() or ())
-                    all_items.append(sorted(x for x in names if x is not None))
-                    longest.append(max(int(best[k]), old_longest[a + k].as_py()))
-            state = [pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), pa.array(longest, pa.int32())]
-            counts = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())]
-            texts = [batch.column(1)] if text_too else [pa.nulls(len(raw), pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *texts, *state, *counts], names=["row", "text", "spans", "items", "longest", "n_words", "n_hit"])
+                found = _shard(tests, raw[a:b])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_columns(found)], names=["row", *_NAMES])
+                yield out.filter(pa.array([x[1] > 0 for x in found])) if hits_only else out
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (row, n_words, found: list of what the blocks found): one answer for each text."""
+    for batch in batches:
+        rows = []
+        for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            pairs = np.array(sorted(p for x in found for p in zip(x["spans"][::2], x["spans"][1::2])), np.int64).reshape(-1, 2)
+            spans = _covered(pairs[:, 0], pairs[:, 1])
+            matches = sorted((m for x in found for m in x["matches"]), key=lambda m: m["begin"])
+            rows.append((n, int((spans[:, 1] - spans[:, 0]).sum()), spans.ravel().tolist(), sorted({i for x in found for i in x["items"]}), max(x["longest"] for x in found), matches))
+        if rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows)], names=["row", *_NAMES])
+
+
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 4 << 20
 ) -> DataFrame:
-    """One row per row of docs: row (a struct of the carried columns), n_words, n_hit, items, spans, longest, contaminated.
+    """One row per row of docs: row (a struct of the carried columns), n_words, n_hit, items, spans, longest, matches, contaminated.
 
     A document word inside any occurrence of a window of `window` item words (a shorter item is one window) is hit.
-    spans: the hit stretches (first word, end, first word, end ...); longest: words of the longest verbatim match
-    with one item; items: distinct ids of the items with occurring windows, as sorted strings (null ids hit, but
-    aren't listed). contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null or empty texts have no words; items
-    without words have no window; empty tables give no rows or no hits. Repeated rows are rows like others, repeated
-    items count once by id. Extra columns are only carried, inside the struct, where no name can clash.
-    block_bytes: the most benchmark text that is broadcast at once.
+    spans: the hit stretches (first word, end, first word, end ...). matches: the verbatim matches of at least a
+    window, each as long as it can be: item, begin (word of the document), item_begin, words; longest: the most
+    words of one. items: distinct ids of the items with occurring windows, as sorted strings (null ids hit and
+    match, but aren't listed). contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null or empty texts have no words;
+    items without words have no window; empty tables give no rows or no hits. Repeated rows are rows like others,
+    repeated items count once by id. Extra columns are only carried, inside the struct, where no name can clash.
+    block_bytes: the most benchmark text that is broadcast at once (an item is never split).
     """
     spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    state = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
-        F.col(text_col).alias("text"),
-        F.array().cast("array<int>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-        F.lit(0).alias("longest"),
-    )
-    kind = state.schema["row"].dataType.simpleString()
-    for b in range(blocks):
+    text = F.col(text_col).alias("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text)
+
+    def block_of(b: int):
         block = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast([(x.item, x.text.encode()) for x in block.collect()])
+        return spark.sparkContext.broadcast(Tests([(x.item, x.text.encode()) for x in block.collect()], window))
 
-        def tests_of(sent=sent) -> Tests:
-            return Tests(sent.value, window)
+    def scanned(df: DataFrame, sent, hits_only: bool) -> DataFrame:
+        return df.mapInArrow(_scan(sent, hits_only), f"row {df.schema['row'].dataType.simpleString()}, {_FOUND}")
 
-        state = state.select("row", "text", "spans", "items", "longest").mapInArrow(
-            _scan(tests_of, b + 1 < blocks), f"row {kind}, text string, spans array<int>, items array<string>, longest int, n_words long, n_hit long"
-        )
-    return state.select("row", "n_words", "n_hit", "items", "spans", "longest", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    if blocks == 1:
+        out = scanned(rows, block_of(0), False)
+    else:
+        # what a text hits depends on the text only: hits are kept by its hash and size, one block after the other
+        mark = F.struct(F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n")).alias("row")
+        hits = None
+        for b in range(blocks):
+            found = stored(scanned(docs.select(mark, text), block_of(b), True).dropDuplicates(["row"]))
+            hits = found if hits is None else hits.unionAll(found)
+        hits = hits.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("spans", "items", "longest", "matches")).alias("found"))
+        hits = stored(hits.mapInArrow(_joined, f"row struct<h:bigint,n:int>, {_FOUND}")).withColumnRenamed("row", "of").drop("n_words")
+        counted = scanned(docs.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), mark.alias("of")).alias("row"), text), spark.sparkContext.broadcast(Tests([], window)), False)
+        counted = counted.select("row.row", "row.of", "n_words")
+        none = {"n_hit": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "longest": F.lit(0), "matches": F.array().cast(hits.schema["matches"].dataType)}
+        out = counted.join(hits, "of", "left").select("row", "n_words", *(F.coalesce(c, v).alias(c) for c, v in none.items()))
+    return out.select("row", "n_words", "n_hit", "items", "spans", "longest", "matches", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -136,6 +136,23 @@ def test_contamination(spark, texts, block_bytes):
     docs, tests = make(spark, texts), spark.createDataFrame(items, "item_id long, text string")
     got = contamination(docs, tests, ["doc_id"], block_bytes=block_bytes).collect()
     assert collections.Counter((x.row.doc_id, x.n_words, x.n_hit, tuple(x["items"]), x.contaminated) for x in got) == want
+    by_item = collections.defaultdict(list)
+    for i, t in items:
+        by_item[i].append(fold(t))
+    for x in got:
+        words = fold(dict((i, t) for i, t in texts if i == x.row.doc_id and len(fold(t)) == x.n_words).get(x.row.doc_id))
+        for m in x.matches:
+            assert any(words[m.begin : m.begin + m.words] == w[m.item_begin : m.item_begin + m.words] for w in by_item[int(m["item"]) if m["item"] else None])
+        assert x.longest == max((m.words for m in x.matches), default=0)
+        longest = 0  # by brute force, of those of at least a window
+        for w in (w for v in by_item.values() for w in v if w):
+            for a in range(len(w)):
+                for b in range(len(words) if len(words) < 500 else 0):
+                    n = 0
+                    while a + n < len(w) and b + n < len(words) and w[a + n] == words[b + n]:
+                        n += 1
+                    longest = max(longest, n if n >= min(13, len(w)) else 0)
+        assert longest == x.longest or len(words) >= 500
     clean = decontaminate(docs, tests, block_bytes=block_bytes)
     assert clean.columns == docs.columns
     assert clean.count() == sum(n for k, n in want.items() if not k[4])
