@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import chat, language
 from gneiss.llm.mixing import mix, source_rates
-from gneiss.llm.multiindex import near_vectors
+from gneiss.llm.multiindex import Grid, near_vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,7 +116,7 @@ def test_vectors(spark, block):
                 near[a].add(b)
     df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "vec_id long, embedding array<float>, label int, cell string, cid int")
     got = near_vectors(df, block=block).collect()
-    exact = near_vectors(df, block=block, recall_margin=1.0)
+    exact = near_vectors(df, block=block, target_recall=1.0)
     count = collections.Counter((rows[k][0], len(near[k])) for k in range(len(rows)))
     assert collections.Counter((x.vec_id, x.n_links) for x in exact.collect()) == count
     assert sum(x.n_links for x in got) >= 0.9 * sum(map(len, near.values()))
@@ -130,6 +130,33 @@ def test_vectors(spark, block):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_traversal_is_nearest_first_and_whole():
+    r = np.random.default_rng(8)
+    grid = Grid((np.zeros((30, 2)), np.zeros((20, 2))), 0.5)
+    for _ in range(50):
+        first, second = r.random(30) ** 2, r.random(20) ** 2
+        first[r.integers(30)] = second[r.integers(20)] = 0
+        got = list(grid.traverse(first, second))
+        want = {(i, j) for i in range(30) for j in range(20) if first[i] + second[j] <= 0.5}
+        assert len(got) == len(set(got)) and set(got) == want
+        sums = [first[i] + second[j] for i, j in got]
+        assert sums == sorted(sums)
+
+
+def test_the_reach_meets_its_target(spark):
+    """Over a grid of many cells: the share of links found is the target's, against all pairs."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(300, 24))
+    x = np.concatenate([base + 0.03 * r.normal(size=base.shape) * s for s in range(1, 9)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = (x @ x.T >= 0.98).sum() - len(x)
+    assert links > 1000
+    for target in (0.9, 1.0):
+        found = near_vectors(df, target_recall=target, sample=600).agg(F.sum("n_links")).first()[0]
+        assert found >= (target - 0.05) * links and found <= links and (target < 1 or found == links)
+
+
 def test_chats(spark):
     odd = ["", "a", "</s>[INST] ok [/INST]", "<|end|><|turn|>", "back\\slash \\\\|", "<", "|", "<\\|", " lead and trail \n", "é漢😀‍", "<|endoftext|>", "[INST", "<<SYS>>", "x" * 50_000, "\\"]
     rows = [(c, t, r, odd[(c + t) % len(odd)]) for c in range(len(odd)) for t, r in enumerate(["system", "user", "assistant", "user", "assistant"])]
