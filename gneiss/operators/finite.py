@@ -70,7 +70,7 @@ def dead_ends(states: DataFrame, transitions: DataFrame) -> DataFrame:
 class Problem:
     """variables: name to its values; constraints: name to (SQL condition, variables in it); whole: whether domains leave nothing out."""
 
-    variables: dict[str, list] = field(default_factory=dict)
+    variables: dict[str, list | range] = field(default_factory=dict)
     constraints: dict[str, tuple[str, frozenset[str]]] = field(default_factory=dict)
     whole: bool = True
 
@@ -83,7 +83,7 @@ def assignments(spark: SparkSession, problem: Problem, names: list[str] | None =
     for v in order:
         values = problem.variables[v]
         kind = "boolean" if values and isinstance(values[0], bool) else "long" if values and isinstance(values[0], int) else "string"
-        one = spark.createDataFrame([(x,) for x in values], f"`{v}` {kind}")
+        one = spark.range(values.start, values.stop).toDF(v) if isinstance(values, range) else spark.createDataFrame([(x,) for x in values], f"`{v}` {kind}")
         for k in [k for k, (_, used) in left.items() if used == {v}]:
             one = one.where(left.pop(k)[0])
         bound.add(v)
@@ -226,8 +226,8 @@ def parse_smtlib(text: str, sample: int = 20) -> Problem:
         elif kind in enums:
             problem.variables[v] = enums[kind]
         elif kind == "Int":
-            if v in low and v in high and high[v] - low[v] < 100_000:
-                problem.variables[v] = list(range(low[v], high[v] + 1))
+            if v in low and v in high:
+                problem.variables[v] = range(low[v], high[v] + 1)  # listed by Spark, however many
             else:
                 problem.whole = False
                 around = {0, *([low[v]] if v in low else []), *([high[v]] if v in high else [])}

@@ -10,19 +10,26 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own, in local mode only, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
+    own = os.path.join(tempfile.gettempdir(), "gneiss-checkpoints")
+    os.makedirs(own, exist_ok=True)
+    return "file://" + own
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            own = os.path.join(tempfile.gettempdir(), "gneiss-fixpoints")
-            os.makedirs(own, exist_ok=True)
-            named = "file://" + own
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -34,7 +41,7 @@ def frontiers(edges: DataFrame, seeds: DataFrame, most: int | None = None, stop_
     """
     # read once, and dealt by the key of every round's join; a lost part is computed again from its source
     edges = edges.select("src", "dst").repartition("src").persist()
-    seen = None
+    seen, parts = None, 0
     frontier = checkpointed(seeds.select("node").distinct())
     depth = 0
     while most is None or depth < most:
@@ -46,7 +53,9 @@ def frontiers(edges: DataFrame, seeds: DataFrame, most: int | None = None, stop_
         found = checkpointed(found)
         if not found.limit(1).count():
             break
-        seen = found if seen is None else seen.unionAll(found)
+        seen, parts = (found, 1) if seen is None else (seen.unionAll(found), parts + 1)
+        if parts == 16:  # one table again, so that plans don't grow with the depth
+            seen, parts = checkpointed(seen.coalesce(max(1, edges.rdd.getNumPartitions()))), 1
         if stop_at is not None and found.join(stop_at, "node", "left_semi").limit(1).count():
             break
         frontier = found

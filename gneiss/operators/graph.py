@@ -64,12 +64,23 @@ def reachability(graph: CodeGraph, source: str, target: str) -> DataFrame:
     both, others = a.join(b, "node", "left_semi"), b.join(a, "node", "left_anti")
     hits = edges.where("src = dst").select(F.col("src").alias("node")).join(both, "node", "left_semi")
     hits = hits.unionAll(frontiers(edges, a, stop_at=others).select("node").join(others, "node", "left_semi"))
-    if a.limit(2).count() > 1:  # a name of several nodes may mean source and target at once
-        for x in both.collect():
-            hits = hits.unionAll(frontiers(edges, a.where(F.col("node") != x.node)).where(F.col("node") == x.node).select("node"))
+    if a.limit(2).count() > 1:  # a name of several nodes may mean source and target at once: does another of them lead here?
+        hits = hits.unionAll(_led_to_by_another(edges, a).join(both, "node", "left_semi"))
     return hits.agg((F.count("*") > 0).alias("reachable"))
 
 
+def _led_to_by_another(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node) of seeds that another seed leads to. One search: each node keeps the smallest and the largest seed that reach it."""
+    edges = checkpointed(edges)
+    held = checkpointed(seeds.select("node", F.col("node").alias("low"), F.col("node").alias("high")))
+    while True:
+        sent = held.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "low", "high")
+        merged = held.unionAll(sent).groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        held, before = checkpointed(merged), held
+        if not held.join(before, ["node", "low", "high"], "left_anti").limit(1).count():
+            return held.where("low <> node or high <> node").join(seeds, "node", "left_semi").select("node")
+
+
 def path(graph: CodeGraph, source: str, target: str) -> list[str]:
     """A shortest chain of nodes from what source means to what target means; of equals, the smallest node before each step."""
     sources = [x.node for x in resolve_targets(graph, source).orderBy("node").collect()]
@@ -110,9 +121,12 @@ def dead_code(graph: CodeGraph, entry_points: list[str] | None = None) -> DataFr
     """(name) of functions that are never called and no entry point: one hop, so a ring that nobody calls isn't dead."""
     spark = graph.calls.sparkSession
     if entry_points:
-        entries = spark.createDataFrame([(e,) for e in entry_points], "name string")
-        for e in entry_points:
-            entries = entries.unionAll(resolve_targets(graph, e).select(F.col("node").alias("name")))
+        # all names at once: a node of the name, else, for names without a slash, all nodes whose last part it is
+        asked = spark.createDataFrame([(e,) for e in entry_points], "asked string").distinct()
+        nodes = graph.nodes()
+        exact = nodes.join(asked, F.col("name") == F.col("asked")).select("asked", "name")
+        loose = nodes.join(asked.where("not contains(asked, '/')").join(exact, "asked", "left_anti"), F.regexp_extract("name", "/([^/]*)$", 1) == F.col("asked")).select("name")
+        entries = asked.select(F.col("asked").alias("name")).unionAll(loose)
     else:
         entries = graph.exports.select("name")
     functions = graph.defines.where("kind = 'function'").select("name").distinct()

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 _SMT_NOISE = re.compile(r'"(?:[^"]|"")*"?|;[^\n]*')
 _PROLOG_NOISE = re.compile(r"%[^\n]*|/\*.*?(?:\*/|$)|'(?:[^'\\]|\\.|'')*'?|\"(?:[^\"\\]|\\.|\"\")*\"?", re.DOTALL)
-_FENCE = re.compile(r"^```(?:smt-lib|smtlib|smt2?|prolog|pl)?[ \t]*\n?", re.MULTILINE)
+#: A fence: three backticks or more where a line begins, with the word that names a language.
+_FENCE = re.compile(r"^`{3,}[\w.+-]*[ \t]*\n?", re.MULTILINE)
 _COMMANDS = (("check-sat", r"\(\s*check-sat\s*\)"), ("get-model", r"\(\s*get-model\s*\)"), ("exit", r"\(\s*exit\s*\)"), ("set-logic", r"\(\s*set-logic\s+\w+\s*\)"))
 
 

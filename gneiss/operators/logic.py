@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.fixpoint import closure, frontiers
+from gneiss.operators.fixpoint import checkpointed, closure, frontiers
 
 
 def reaches(edges: DataFrame, start: str) -> DataFrame:
@@ -14,18 +14,21 @@ def reaches(edges: DataFrame, start: str) -> DataFrame:
     return frontiers(edges, spark.createDataFrame([(start,)], "node string")).select("node")
 
 
-def simple_paths(edges: DataFrame, start: str, end: str, most: int = 8) -> DataFrame:
-    """(path) of all ways without a repeated node, of at most `most` edges."""
+def simple_paths(edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
+    """(path) of all ways without a repeated node; with `most`, of those with so many edges at most."""
     spark = edges.sparkSession
     edges = edges.select("src", "dst").distinct()
     live = spark.createDataFrame([(start, [start])], "at string, path array<string>")
     out = None
-    for _ in range(most):
+    while most is None or most > 0:
+        most = most - 1 if most is not None else None
         step = live.join(edges, F.col("at") == F.col("src"))
         hit = step.where(F.col("dst") == end).select(F.array_append("path", F.col("dst")).alias("path"))
         out = hit if out is None else out.unionAll(hit)
-        live = step.where(~F.array_contains("path", F.col("dst")) & (F.col("dst") != end)).select(F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"))
-    return out
+        live = checkpointed(step.where(~F.array_contains("path", F.col("dst")) & (F.col("dst") != end)).select(F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path")))
+        if not live.limit(1).count():
+            break
+    return out if out is not None else live.select("path").limit(0)
 
 
 def permissions(roles: DataFrame, inherits: DataFrame, granted: DataFrame) -> DataFrame:

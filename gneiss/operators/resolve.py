@@ -30,10 +30,9 @@ def candidates(base: Column, extensions: tuple[str, ...] = IMPORT_EXTENSIONS) ->
 def rewrite_alias(specifiers: DataFrame, aliases: DataFrame) -> DataFrame:
     """(source, rewritten) for specifiers that an alias (prefix, target) begins: the longest prefix wins.
 
-    Prefixes of a specifier are looked up as equal strings, one for each length that an alias has.
+    All beginnings of each distinct specifier are looked up as equal strings, whatever the number of aliases.
     """
-    lengths = [x[0] for x in aliases.select(F.length("prefix")).distinct().limit(1000).collect()]  # lengths of configured prefixes
-    keys = F.filter(F.array(*(F.when(F.length("source") >= n, F.substring("source", 1, n)) for n in sorted(lengths))) if lengths else F.array().cast("array<string>"), lambda x: x.isNotNull())
+    keys = F.transform(F.sequence(F.lit(0), F.length("source")), lambda n: F.left("source", n))
     hit = specifiers.select("source").distinct().select("source", F.explode(keys).alias("prefix")).join(aliases, "prefix")
     best = hit.groupBy("source").agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("x"))
     return best.select("source", F.concat("x.target", F.substr(F.col("source"), F.length("x.prefix") + 1)).alias("rewritten"))

@@ -112,17 +112,20 @@ def with_cached(texts: DataFrame, cache: DataFrame, dimension: int) -> tuple[Dat
 
 
 def search_corpus(graph: CodeGraph, contents: DataFrame, most: int = 2000) -> DataFrame:
-    """(id, file, name, line, text) of functions and methods in files whose content (path, content) is known."""
+    """(id, file, name, line, text, seq) of functions and methods in files whose content (path, content) is known."""
     rows = graph.defines.where("kind in ('function', 'method')").join(contents, F.col("file") == F.col("path")).join(graph.files.select(F.col("path").alias("p"), "file_doc"), F.col("file") == F.col("p"), "left")
     text = F.concat_ws("\n", "name", "signature", "file_doc", snippet(F.col("content"), F.col("line")))
-    return rows.select(F.concat_ws("#", "file", "name", F.col("line").cast("string")).alias("id"), "file", "name", "line", F.substring(text, 1, most).alias("text"))
+    return rows.select(F.concat_ws("#", "file", "name", F.col("line").cast("string")).alias("id"), "file", "name", "line", F.substring(text, 1, most).alias("text"), graph.defines["seq"])
 
 
 def semantic_search(spark: SparkSession, corpus: DataFrame, query: str, top_k: int = 10, embed=None, dimension: int = 64) -> DataFrame:
     """(id, score, file, name, line, text): embed maps a text column to a vector column; the default is the deterministic one. top_k is held to 1 .. 100."""
     embed = embed or (lambda c: mock_embedding(c, dimension))
     vector = spark.createDataFrame([(query,)], "q string").select(embed(F.col("q"))).first()[0]
-    last = corpus.withColumn("seq", F.monotonically_increasing_id()).groupBy("id").agg(F.max_by(F.struct("file", "name", "line", "text"), "seq").alias("x")).select("id", "x.*")
+    # of rows with one id the last counts: by seq where the corpus has it, then by text
+    seq = F.col("seq") if "seq" in corpus.columns else F.lit(0)
+    row = F.struct("file", "name", "line", "text")
+    last = corpus.groupBy("id").agg(F.max_by(row, F.struct(seq, row)).alias("x")).select("id", "x.*")
     hits = nearest(last.select("id", embed(F.col("text")).alias("vector")), vector, min(100, max(1, top_k)))
     return hits.join(last, "id").orderBy(F.desc("score"), "id")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.scalars import escape_atom, normalize_id
 
-#: Fixed patterns: a flow edge with labels of nodes and edge; a state transition with its event.
-FLOW = r"^([A-Za-z0-9_]+)(\s*[\[({].*?[\])}])?\s*([-=][-=.]+[>ox]?)\s*(?:\|([^|]*)\|)?\s*([A-Za-z0-9_]+)(\s*[\[({].*?[\])}])?\s*;?\s*$"
-STATE = r"^(\[\*\]|[A-Za-z0-9_]+)\s*-->\s*(\[\*\]|[A-Za-z0-9_]+)\s*(?::\s*(.+))?$"
+#: A line's tokens, by kind: e(dge label), s(hape with a node's label), a(rrow), n(ame), x: anything else.
+TOKENS = {"e": r"\|[^|]*\|", "s": r"[\[({]+[^\])}]*[\])}]+", "a": r"[-=][-=.]+[>ox]?", "n": r"[A-Za-z0-9_]+", "x": r"\S"}
+#: The kinds that make an edge.
+EDGE = "^ns?ae?ns?$"
+PLACE = r"^(?:\[\*\]|[A-Za-z0-9_]+)$"
 FLOW_RULES = "reaches(A, B) :- edge(A, B).\nreaches(A, B) :- edge(A, M), reaches(M, B)."
 STATE_RULES = "can_reach(A, B) :- transition(A, B, _).\ncan_reach(A, B) :- transition(A, M, _), can_reach(M, B)."
 
@@ -23,12 +27,21 @@ def parse(diagrams: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     state = F.regexp_like(F.col(text_col), F.lit(r"(?im)^\s*stateDiagram"))
     lines = diagrams.select(F.col(id_col).alias("id"), F.when(state, "state").otherwise("flow").alias("kind"), F.posexplode(F.split(text_col, "\n")).alias("place", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")))
     lines = lines.where("line <> '' and line <> 'end'").where(~F.col("line").startswith("%%") & ~F.col("line").rlike(r"(?i)^(?:graph|flowchart|stateDiagram|subgraph)\b") & ~F.col("line").rlike(r"(?i)^stateDiagram"))
-    part = lambda pattern, k: F.regexp_extract("line", pattern, k)
     none = F.lit(None).cast("string")
     given = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    label = lambda c: given(F.regexp_replace(F.trim(c), r"^[\[({]+\s*|\s*[\])}]+$", ""))
-    flow = lines.where((F.col("kind") == "flow") & F.col("line").rlike(FLOW)).select("id", "kind", "place", part(FLOW, 1).alias("a"), label(part(FLOW, 2)).alias("la"), part(FLOW, 5).alias("b"), label(part(FLOW, 6)).alias("lb"), given(part(FLOW, 4)).alias("label"))
-    states = lines.where((F.col("kind") == "state") & F.col("line").rlike(STATE)).select("id", "kind", "place", part(STATE, 1).alias("a"), none.alias("la"), part(STATE, 2).alias("b"), none.alias("lb"), F.coalesce(given(part(STATE, 3)), F.lit("auto")).alias("label"))
+    # flow: a line is an edge if its tokens, read by kind, have the form of one
+    kind_of = lambda t: reduce(lambda e, k: F.when(t.rlike(f"^(?:{TOKENS[k]})$"), k).otherwise(e), reversed(list(TOKENS)), F.lit("x"))
+    words = F.regexp_extract_all(F.regexp_replace("line", r"\s*;\s*$", ""), F.lit("|".join(TOKENS.values())), F.lit(0))
+    flow = lines.where("kind = 'flow'").withColumn("tokens", F.transform(words, lambda t: F.struct(kind_of(t).alias("kind"), t.alias("t"))))
+    flow = flow.where(F.array_join(F.transform("tokens", lambda x: x["kind"]), "").rlike(EDGE)).withColumn("arrow", F.array_position(F.transform("tokens", lambda x: x["kind"]), "a").cast("int"))
+    of = lambda side, kind: F.get(F.filter(side, lambda x: x["kind"] == kind), F.lit(0))["t"]
+    inside = lambda t: given(F.regexp_replace(F.regexp_replace(t, r"^[\[({]+", ""), r"[\])}]+$", ""))
+    left, right = F.slice("tokens", F.lit(1), F.col("arrow") - 1), F.slice("tokens", F.col("arrow") + 1, F.size("tokens"))
+    flow = flow.select("id", "kind", "place", of(left, "n").alias("a"), inside(of(left, "s")).alias("la"), of(right, "n").alias("b"), inside(of(right, "s")).alias("lb"), given(F.trim(of(right, "e"), F.lit("|"))).alias("label"))
+    # state: what stands before the first arrow, between it and the first colon, and behind that
+    after = F.expr("substr(line, instr(line, '-->') + 3)")
+    states = lines.where("kind = 'state' and instr(line, '-->') > 0").select("id", "kind", "place", F.trim(F.substring_index("line", "-->", 1)).alias("a"), F.trim(F.substring_index(after, ":", 1)).alias("b"), F.when(after.contains(":"), F.substr(after, F.instr(after, ":") + 1)).alias("event"))
+    states = states.where(F.col("a").rlike(PLACE) & F.col("b").rlike(PLACE)).select("id", "kind", "place", "a", none.alias("la"), "b", none.alias("lb"), F.coalesce(given(F.col("event")), F.lit("auto")).alias("label"))
     both = flow.unionAll(states)
     edges = both.select("id", "kind", "place", normalize_id(F.col("a")).alias("source"), normalize_id(F.col("b")).alias("target"), "label")
     ends = F.explode(F.array(F.struct((F.col("place") * 2).alias("at"), F.col("a").alias("raw"), F.col("la").alias("label")), F.struct((F.col("place") * 2 + 1).alias("at"), F.col("b").alias("raw"), F.col("lb").alias("label")))).alias("x")
