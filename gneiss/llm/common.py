@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators.fixpoint import checkpointed as cut
-from gneiss.operators.fixpoint import components
+from gneiss.operators.fixpoint import components, shared_dir
 
 __all__ = ["by_bytes", "components", "cut", "dropped", "once", "running_totals", "shared_dir", "stored", "table"]
 
@@ -44,16 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = os.path.join(tempfile.gettempdir(), "gneiss-checkpoints")
-    os.makedirs(own, exist_ok=True)
-    return "file://" + own
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, as compressed columns: for tables of many rows of which each reader needs some columns."""
     spark = df.sparkSession
