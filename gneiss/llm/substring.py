@@ -338,7 +338,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     offsets = windows.join(again, ["key", "h"]).groupBy("key", "span").agg(F.collect_set("offset").alias("offsets"))
     resolved = mine.where("c = 0").unionByName(open_.where("not mixed").drop("mixed")).select("tid", "id", "i", "n", F.lit(None).cast("array<int>").alias("offsets"))
     partly = open_.where("mixed").join(offsets, ["key", "span"]).select("tid", "id", "i", "n", "offsets")
-    by_text = resolved.unionAll(partly).groupBy("tid", "id").agg(F.collect_list(F.struct("i", "n", "offsets")).alias("found"))
+    # a set: rows alike in text and id, however many, have the same spans, which combine before the shuffle
+    by_text = resolved.unionAll(partly).groupBy("tid", "id").agg(F.collect_set(F.struct("i", "n", "offsets")).alias("found"))
     made = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     out = rows.join(by_text, same(rows, by_text), "left").select(rows["id"], "text", "found").mapInArrow(_removal_rows(window, with_text), made)
     return out.withColumnRenamed("id", id_col)
