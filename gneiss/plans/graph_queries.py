@@ -31,11 +31,27 @@ exports AS (SELECT 'src/services/' || lower(c_mktsegment) || '.ts' AS file, 'cus
 imports AS (SELECT DISTINCT 'src/services/' || lower(c_mktsegment) || '.ts' AS file, 'nation' AS name, '../handlers/nation' AS source FROM customer),
 nodes AS (SELECT name FROM defines UNION SELECT caller FROM calls UNION SELECT callee FROM calls)
 """
+#: All lines of the hierarchy as facts: declarations, relations, entry points, rules.
+_RELATIONS = "defines/4 calls/2 imports/3 exports/2 contains/2 file/2 hyperedge/2 hyperedge_member/2 entry_point/1".split()
+LINES = (
+    """lines AS (
+  SELECT 'file(''' || file || ''', typescript).' AS line FROM (SELECT DISTINCT file FROM defines)
+  UNION ALL SELECT 'defines(''' || file || ''', ''' || name || ''', ' || kind || ', ' || line || ').' FROM defines
+  UNION ALL SELECT 'calls(''' || caller || ''', ''' || callee || ''').' FROM calls
+  UNION ALL SELECT 'imports(''' || file || ''', ' || name || ', ''' || source || ''').' FROM imports
+  UNION ALL SELECT 'exports(''' || file || ''', ''' || name || ''').' FROM exports
+  UNION ALL SELECT 'contains(''nation/' || s_nationkey || ''', ''supplier/' || s_suppkey || ''').' FROM supplier
+  UNION ALL SELECT 'entry_point(''' || name || ''').' FROM (SELECT DISTINCT name FROM exports)
+"""
+    + "".join(f"  UNION ALL SELECT '{x}'\n" for x in [*(f":- dynamic({r})." for r in _RELATIONS), *graph.RULES.split("\n")])
+    + ")"
+)
 TRADE = """
 calls AS (
-  SELECT 'n' || c_nationkey AS caller, 'n' || s_nationkey AS callee
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 49 AND l_discount >= 0.09 AND o_orderpriority = '1-URGENT' AND (c_nationkey < 16 OR s_nationkey < 16)
+  SELECT 'n' || c_nationkey AS caller, 'n' || s_nationkey AS callee FROM (
+    SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, s_nationkey) AS k FROM (
+      SELECT c_nationkey, s_nationkey, sum(l_quantity::BIGINT) AS n
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey)) WHERE k <= 3
 ), edges AS (SELECT DISTINCT caller, callee FROM calls),
 defines AS (SELECT 'n' || n_nationkey AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'method' ELSE 'function' END AS kind FROM nation),
 undirected AS (SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM calls WHERE caller <> callee),
@@ -73,7 +89,9 @@ def g6_impact(spark, sf_dir):
 
 
 def g7_dead_code(spark, sf_dir):
-    return graph.dead_code(hierarchy(spark, sf_dir))
+    """Of the hierarchy without its nations: customers that no nation calls then, unless they are exported."""
+    g = hierarchy(spark, sf_dir)
+    return graph.dead_code(g.with_(calls=g.calls.where("not startswith(caller, 'nation/')")))
 
 
 def g7_dead_code_entries(spark, sf_dir):
@@ -139,7 +157,7 @@ def g15_entry_points_functions(spark, sf_dir):
 
 
 def g16_fact_lines(spark, sf_dir):
-    return graph.fact_lines(trade(spark, sf_dir)).where("section in (2, 3)").select("line")
+    return graph.fact_lines(hierarchy(spark, sf_dir)).select("line")
 
 
 def g18_nodes(spark, sf_dir):
@@ -169,7 +187,7 @@ def g21_symbol_detail(spark, sf_dir):
 def l5_transition_reach(spark, sf_dir):
     from gneiss.operators.fixpoint import closure
 
-    t = bindings.transitions(spark, sf_dir).distinct().where("source < 'n' or target < 'c'")
+    t = bindings.transitions(spark, sf_dir).distinct()
     return closure(t.select(F.col("source").alias("src"), F.col("target").alias("dst"))).select(F.col("src").alias("source"), F.col("dst").alias("target"))
 
 
@@ -193,7 +211,7 @@ ORACLE_SQL = {
       chain(node, depth) AS (SELECT node, depth FROM least_depth WHERE node = 'supplier/5' UNION ALL SELECT s.parent, c.depth - 1 FROM chain c JOIN steps s ON s.node = c.node AND s.depth = c.depth)
       SELECT depth::BIGINT AS place, node AS name FROM chain""",
     "g6_impact": f"WITH RECURSIVE {HIER}, r AS (SELECT caller AS node FROM edges WHERE callee = 'supplier/1' UNION SELECT e.caller FROM r JOIN edges e ON e.callee = r.node) SELECT node AS name FROM r WHERE node <> 'supplier/1'",
-    "g7_dead_code": f"WITH {HIER} SELECT DISTINCT name FROM defines d WHERE kind = 'function' AND NOT EXISTS (FROM calls c WHERE c.callee = d.name) AND NOT EXISTS (FROM exports e WHERE e.name = d.name)",
+    "g7_dead_code": f"WITH {HIER} SELECT DISTINCT name FROM defines d WHERE kind = 'function' AND NOT EXISTS (FROM calls c WHERE c.callee = d.name AND c.caller NOT LIKE 'nation/%') AND NOT EXISTS (FROM exports e WHERE e.name = d.name)",
     "g7_dead_code_entries": f"WITH {TRADE} SELECT DISTINCT name FROM defines d WHERE kind = 'function' AND name NOT IN ('n1', 'n2') AND NOT EXISTS (FROM calls c WHERE c.callee = d.name)",
     "g8_cycles": f"""WITH RECURSIVE {TRADE}, fn AS (SELECT * FROM edges WHERE caller NOT IN (SELECT name FROM defines WHERE kind = 'method') AND callee NOT IN (SELECT name FROM defines WHERE kind = 'method')),
         r AS (SELECT caller, callee FROM fn UNION SELECT r.caller, f.callee FROM r JOIN fn f ON f.caller = r.callee) SELECT caller AS name FROM r WHERE caller = callee""",
@@ -209,8 +227,7 @@ ORACLE_SQL = {
       SELECT CASE WHEN late THEN 'added' ELSE 'removed' END AS change, entity, key FROM sides WHERE early <> late""",
     "g15_entry_points": f"WITH {HIER} SELECT DISTINCT name FROM exports WHERE NOT EXISTS (FROM calls WHERE callee = name) OR NOT EXISTS (FROM exports e WHERE NOT EXISTS (FROM calls WHERE callee = e.name))",
     "g15_entry_points_functions": f"WITH {TRADE} SELECT DISTINCT name FROM defines WHERE kind = 'function' AND NOT EXISTS (FROM calls WHERE callee = name)",
-    "g16_fact_lines": f"""WITH {TRADE} SELECT 'defines(''src/nation.ts'', ' || name || ', ' || kind || ', ' || substr(name, 2) || ').' AS line FROM defines
-        UNION ALL SELECT 'calls(' || caller || ', ' || callee || ').' FROM calls""",
+    "g16_fact_lines": f"WITH {HIER}, {LINES} SELECT line FROM lines",
     "g18_nodes": f"WITH {HIER} SELECT name FROM nodes",
     "g18_undirected": f"WITH {TRADE} SELECT a, b FROM undirected",
     "g18_degrees": f"""WITH {HIER}, u AS (SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM calls WHERE caller <> callee)
@@ -237,5 +254,5 @@ ORACLE_SQL = {
     "g21_symbol_detail": f"""WITH {HIER} SELECT 'define' AS relation, file AS name FROM defines WHERE name = 'part/5' UNION ALL SELECT 'caller', caller FROM edges WHERE callee = 'part/5' UNION ALL SELECT 'callee', callee FROM edges WHERE caller = 'part/5'""",
     "l5_transition_reach": """WITH RECURSIVE t AS (
         SELECT DISTINCT source, target FROM (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events)
-        WHERE target IS NOT NULL AND (source < 'n' OR target < 'c')), r AS (SELECT source, target FROM t UNION SELECT r.source, t.target FROM r JOIN t ON t.source = r.target) SELECT source, target FROM r""",
+        WHERE target IS NOT NULL), r AS (SELECT source, target FROM t UNION SELECT r.source, t.target FROM r JOIN t ON t.source = r.target) SELECT source, target FROM r""",
 }

@@ -8,10 +8,10 @@ from gneiss.operators import graph, resolve
 from gneiss.operators.lint import lint_column
 from gneiss.operators.retrieval import BM25Index
 from gneiss.operators.templates import Library
-from gneiss.plans.graph_queries import TRADE
+from gneiss.plans.graph_queries import HIER, LINES
 from gneiss.plans.table_queries import _SOURCES_SQL, TOKENS, _sources
 from gneiss.sources import mermaid
-from gneiss.sources.bindings import table, trade
+from gneiss.sources.bindings import hierarchy, table
 
 SEARCHED = "which users may do what through roles and policies"
 
@@ -42,7 +42,7 @@ def j8_qualified_callees(spark, sf_dir):
     """Calls of methods m<k> by orders; a method that one class alone contains belongs to it."""
     p = table(spark, sf_dir, "part")
     contains = p.select(F.col("p_brand").alias("parent"), F.concat(F.lit("m"), F.col("p_partkey") % 700).alias("child"), F.col("p_partkey").alias("seq")).distinct()
-    calls = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("caller"), F.concat(F.lit("m"), F.col("l_partkey") % 700).alias("callee"), F.lit(None).cast("string").alias("callee_qn"), F.col("l_orderkey").alias("seq"))
+    calls = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("caller"), F.concat(F.lit("m"), F.col("l_partkey") % 700).alias("callee"), F.lit(None).cast("string").alias("callee_qn"), F.col("l_orderkey").alias("seq"))
     pending = calls.select("caller", "callee", "seq", F.array(F.lit("x")).alias("receiver_chain"), F.lit(None).cast("string").alias("enclosing_class"), F.create_map().cast("map<string,string>").alias("var_types"))
     fields = spark.createDataFrame([], "class_name string, field string, type string")
     methods = spark.createDataFrame([], "class_name string, method string, v string, owner string")
@@ -59,14 +59,16 @@ def s15_mermaid_edges(spark, sf_dir):
 
 
 def k8_facts_size(spark, sf_dir):
-    lines = graph.fact_lines(trade(spark, sf_dir)).where("section in (2, 3)")
+    lines = graph.fact_lines(hierarchy(spark, sf_dir))
     return lines.agg(F.sum(F.length("line") + 1).alias("size"), F.count("*").alias("n"))
 
 
 def f14_lint(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("```prolog\n"), F.regexp_replace("text", "[^A-Za-z()., ]", ""), F.when(F.col("doc_id") % 3 == 0, "(").otherwise("")).alias("spec"))
-    x = lint_column(F.col("spec"), F.lit("prolog"))
-    return d.select("doc_id", x.alias("x")).select("doc_id", F.size("x.fixes").alias("fixes"), F.size(F.filter("x.errors", lambda e: e.contains("closed"))).alias("unclosed"))
+    """Whole texts as specifications of both solvers: strings and comments hide parentheses, fences and commands go."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(F.lit("prolog"), F.lit("z3"))).alias("solver"))
+    spec = F.concat(F.lit("```"), F.col("solver"), F.lit("\n(check-sat) p("), F.col("text"), F.when(F.col("doc_id") % 3 == 0, ")").when(F.col("doc_id") % 3 == 1, "\n) % '( ;\" ("))
+    x = lint_column(F.coalesce(spec, F.concat(F.lit("```\n("), "text")), F.col("solver"))
+    return d.select("doc_id", "solver", x.alias("x")).select("doc_id", "solver", F.size("x.fixes").alias("fixes"), F.size(F.filter("x.errors", lambda e: e.contains("closed"))).alias("unclosed"))
 
 
 def _library(spark, sf_dir):
@@ -93,15 +95,18 @@ ORACLE_SQL = {
     "j7_receiver_types": """WITH f AS (SELECT s_nationkey AS c, s_suppkey % 4 AS f, min(s_name) AS type FROM supplier GROUP BY ALL)
         SELECT o_orderkey, type FROM orders LEFT JOIN f ON c = o_custkey % 25 AND f = o_custkey % 4""",
     "j8_qualified_callees": """WITH own AS (SELECT p_partkey % 700 AS m, min(p_brand) AS b FROM part GROUP BY m HAVING count(DISTINCT p_brand) = 1)
-        SELECT 'o' || l_orderkey AS caller, b || '.m' || m AS callee_qn FROM lineitem JOIN own ON m = l_partkey % 700 WHERE l_linenumber = 1""",
+        SELECT 'o' || l_orderkey AS caller, b || '.m' || m AS callee_qn FROM lineitem JOIN own ON m = l_partkey % 700""",
     "s15_mermaid_edges": """SELECT user_id, event_type AS source, next AS target, 'e' || (event_id % 7) AS label, count(*) AS n
         FROM (SELECT user_id, event_type, event_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL GROUP BY ALL""",
-    "k8_facts_size": f"""WITH {TRADE}, lines AS (SELECT 'defines(''src/nation.ts'', ' || name || ', ' || kind || ', ' || substr(name, 2) || ').' AS line FROM defines UNION ALL SELECT 'calls(' || caller || ', ' || callee || ').' FROM calls)
-        SELECT sum(length(line) + 1)::BIGINT AS size, count(*) AS n FROM lines""",
-    "f14_lint": """WITH p AS (SELECT doc_id, regexp_replace(text, '[^()]', '', 'g') || CASE WHEN doc_id % 3 = 0 THEN '(' ELSE '' END AS s FROM documents),
-        c AS (SELECT doc_id, i, sum(CASE substr(s, i, 1) WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM p)),
-        e AS (SELECT doc_id, min(depth) AS low, max_by(depth, i) AS last FROM c GROUP BY doc_id)
-      SELECT doc_id, 1 AS fixes, CASE WHEN low >= 0 AND last > 0 THEN 1 ELSE 0 END AS unclosed FROM p LEFT JOIN e USING (doc_id)""",
+    "k8_facts_size": f"WITH {HIER}, {LINES} SELECT sum(length(line) + 1)::BIGINT AS size, count(*) AS n FROM lines",
+    "f14_lint": r"""WITH specs AS (SELECT doc_id, solver, CASE doc_id % 3 WHEN 0 THEN '(check-sat) p(' || text || ')' WHEN 1 THEN '(check-sat) p(' || text || chr(10) || ') % ''( ;" (' ELSE '(' || text END AS spec
+          FROM documents, (VALUES ('prolog'), ('z3')) s(solver)),
+        bare AS (SELECT doc_id, solver, CASE solver WHEN 'z3' THEN regexp_replace(replace(spec, '(check-sat)', ''), '"(?:[^"]|"")*"?|;[^\n]*', '', 'g')
+          ELSE regexp_replace(spec, '%[^\n]*|/\*.*?(?:\*/|$)|''(?:[^''\\]|\\.|'''')*''?|"(?:[^"\\]|\\.|"")*"?', '', 'gs') END AS s FROM specs),
+        p AS (SELECT doc_id, solver, regexp_replace(s, '[^()]', '', 'g') AS s FROM bare),
+        c AS (SELECT doc_id, solver, i, sum(CASE substr(s, i, 1) WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id, solver ORDER BY i) AS depth FROM (SELECT doc_id, solver, s, unnest(range(1, length(s) + 1)) AS i FROM p)),
+        e AS (SELECT doc_id, solver, min(depth) AS low, max_by(depth, i) AS last FROM c GROUP BY ALL)
+      SELECT doc_id, solver, CASE WHEN solver = 'z3' AND doc_id % 3 < 2 THEN 2 ELSE 1 END AS fixes, CASE WHEN low >= 0 AND last > 0 THEN 1 ELSE 0 END AS unclosed FROM p LEFT JOIN e USING (doc_id, solver)""",
     "w2_template_uses": _USES,
     "w4_promotable": f"SELECT name FROM ({_USES}) WHERE reuse_count >= 3 AND success_count / reuse_count >= 0.45",
 }

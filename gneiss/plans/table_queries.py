@@ -153,7 +153,7 @@ def b7_search_corpus(spark, sf_dir):
         defines=d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), F.concat(F.lit("f"), F.col("doc_id")).alias("name"), F.when(F.col("doc_id") % 2 == 0, "function").otherwise("class").alias("kind"), F.lit(2).alias("line"), F.col("source").alias("signature")),
         files=d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), F.col("lang").alias("language"), F.when(F.col("lang") == "en", F.col("lang")).alias("file_doc")),
     )
-    return retrieval.search_corpus(g, d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), F.col("text").alias("content")), 300).select("id", "text")
+    return retrieval.search_corpus(g, d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), F.col("text").alias("content"))).select("id", "text")
 
 
 def b10_near_duplicates(spark, sf_dir):
@@ -163,13 +163,12 @@ def b10_near_duplicates(spark, sf_dir):
 
 
 def _supply(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
-    back = table(spark, sf_dir, "lineitem").where("l_quantity <= 1").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"))
-    return s.unionAll(back).distinct()
+    """Supplier -> part for each line, part -> supplier for those that were returned."""
+    s, p, back = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey")), F.col("l_returnflag") == "R"
+    return table(spark, sf_dir, "lineitem").select(F.when(back, p).otherwise(s).alias("src"), F.when(back, s).otherwise(p).alias("dst")).distinct()
 
 
-SUPPLY = """flows AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 49
-  UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity <= 1)"""
+SUPPLY = """flows AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS src, CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS dst FROM lineitem)"""
 
 
 def l4_reaches(spark, sf_dir):
@@ -178,7 +177,7 @@ def l4_reaches(spark, sf_dir):
 
 def l4_simple_paths(spark, sf_dir):
     t = transitions(spark, sf_dir).distinct().where("source <> target").toDF("src", "dst")
-    return logic.simple_paths(t, "click", "purchase", 3).select(F.array_join("path", ">").alias("path"))
+    return logic.simple_paths(t, "click", "purchase").select(F.array_join("path", ">").alias("path"))
 
 
 def l7_neighbours(spark, sf_dir):
@@ -187,9 +186,10 @@ def l7_neighbours(spark, sf_dir):
 
 def l8_permissions(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    roles = t("customer").where("c_custkey <= 60").select(F.col("c_custkey").alias("user"), F.concat(F.lit("r"), F.col("c_nationkey")).alias("role"))
+    roles = t("customer").select(F.col("c_custkey").alias("user"), F.concat(F.lit("r"), F.col("c_nationkey")).alias("role"))
     inherits = t("nation").where("n_nationkey > 0").select(F.concat(F.lit("r"), F.col("n_nationkey")).alias("role"), F.concat(F.lit("r"), F.floor(F.col("n_nationkey") / 2)).alias("inherited"))
-    granted = t("supplier").where("s_suppkey <= 40").select(F.concat(F.lit("r"), F.col("s_nationkey")).alias("role"), F.lit("read").alias("action"), F.col("s_name").alias("resource"))
+    # what a role may read: the bands of balances of its nation's suppliers
+    granted = t("supplier").select(F.concat(F.lit("r"), F.col("s_nationkey")).alias("role"), F.lit("read").alias("action"), F.concat_ws("/", "s_nationkey", F.floor(F.col("s_acctbal") / 1000)).alias("resource"))
     return logic.permissions(roles, inherits, granted)
 
 
@@ -229,7 +229,7 @@ def l1_datalog(spark, sf_dir):
         never(A, B) :- state(A), state(B), \\+ reach(A, B).
         ok(A, B) :- reach(A, B), \\+ never(B, A).
     """
-    steps = transitions(spark, sf_dir).distinct().where("source < 'n' or target < 'c'")
+    steps = transitions(spark, sf_dir).distinct()
     known = datalog.evaluate(spark, datalog.parse(program), {"step/2": steps})
     return known["ok/2"].toDF("source", "target")
 
@@ -361,21 +361,19 @@ ORACLE_SQL = {
     "b6_nearest": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, [CASE WHEN k % 3 <> 0 THEN 1.0 ELSE -0.5 END::DOUBLE FOR k IN range(64)] AS q FROM embeddings)
         SELECT vec_id AS id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 9) AS score FROM e ORDER BY score DESC, id LIMIT 15""",
     "b7_search_corpus": """SELECT 'doc/' || doc_id || '#f' || doc_id || '#2' AS id,
-        substr(concat_ws(chr(10), 'f' || doc_id, source, CASE WHEN lang = 'en' THEN lang END, array_to_string(list_slice(string_split(text, chr(10)), 2, 7), chr(10))), 1, 300) AS text FROM documents WHERE doc_id % 2 = 0""",
+        substr(concat_ws(chr(10), 'f' || doc_id, source, CASE WHEN lang = 'en' THEN lang END, array_to_string(list_slice(string_split(text, chr(10)), 2, 7), chr(10))), 1, 2000) AS text FROM documents WHERE doc_id % 2 = 0""",
     "l4_reaches": f"WITH RECURSIVE {SUPPLY}, r AS (SELECT dst AS node FROM flows WHERE src = 's1' UNION SELECT f.dst FROM r JOIN flows f ON f.src = r.node) SELECT node FROM r",
-    "l4_simple_paths": """WITH t AS (SELECT DISTINCT source, target FROM (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events) WHERE source <> target)
-        SELECT 'click>purchase' AS path FROM t WHERE source = 'click' AND target = 'purchase'
-        UNION ALL SELECT 'click>' || a.target || '>purchase' FROM t a JOIN t b ON a.target = b.source WHERE a.source = 'click' AND b.target = 'purchase' AND a.target <> 'purchase'
-        UNION ALL SELECT 'click>' || a.target || '>' || b.target || '>purchase' FROM t a JOIN t b ON a.target = b.source JOIN t c ON b.target = c.source
-          WHERE a.source = 'click' AND c.target = 'purchase' AND a.target <> 'purchase' AND b.target NOT IN ('purchase', 'click', a.target)""",
+    "l4_simple_paths": """WITH RECURSIVE t AS (SELECT DISTINCT source, target FROM (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events) WHERE source <> target)
+, w AS (SELECT ['click'] AS p UNION ALL SELECT list_append(p, target) FROM w JOIN t ON source = p[-1] WHERE p[-1] <> 'purchase' AND NOT list_contains(p, target))
+        SELECT array_to_string(p, '>') AS path FROM w WHERE p[-1] = 'purchase'""",
     "l7_neighbours": f"WITH {SUPPLY} SELECT dst FROM flows WHERE src = 's1'",
     "l8_permissions": """WITH RECURSIVE above AS (SELECT n_nationkey AS role, n_nationkey AS has FROM nation UNION SELECT role, (has // 2) FROM above WHERE has > 0)
-        SELECT DISTINCT c_custkey AS user, 'read' AS action, s_name AS resource FROM customer JOIN above ON role = c_nationkey JOIN supplier ON s_nationkey = has WHERE c_custkey <= 60 AND s_suppkey <= 40""",
+        SELECT DISTINCT c_custkey AS user, 'read' AS action, s_nationkey || '/' || floor(s_acctbal / 1000)::BIGINT AS resource FROM customer JOIN above ON role = c_nationkey JOIN supplier ON s_nationkey = has""",
     "l9_missing_pairs": """WITH c AS (SELECT DISTINCT conv_id::VARCHAR AS func, role AS e FROM conversations), q(a, b) AS (VALUES ('user', 'assistant'), ('user', 'system'))
         SELECT DISTINCT func, b AS expected FROM c JOIN q ON e = a WHERE NOT EXISTS (FROM c x WHERE x.func = c.func AND x.e = q.b)""",
     "l10_label_propagation": f"WITH RECURSIVE {SUPPLY}, r AS (SELECT 'p7' AS node UNION SELECT 's3' UNION SELECT f.src FROM r JOIN flows f ON f.dst = r.node) SELECT node FROM r",
     "l1_datalog": """WITH RECURSIVE t AS (SELECT DISTINCT source, target FROM (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events)
-        WHERE target IS NOT NULL AND (source < 'n' OR target < 'c')), m AS (SELECT * FROM t WHERE source <> target), r AS (SELECT * FROM m UNION SELECT r.source, m.target FROM r JOIN m ON m.source = r.target)
+        WHERE target IS NOT NULL), m AS (SELECT * FROM t WHERE source <> target), r AS (SELECT * FROM m UNION SELECT r.source, m.target FROM r JOIN m ON m.source = r.target)
         SELECT source, target FROM r WHERE EXISTS (FROM r x WHERE x.source = r.target AND x.target = r.source)""",
     "c1_contradictions": "SELECT l_suppkey, l_returnflag, l_linestatus FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT l_suppkey, l_returnflag, l_linestatus FROM lineitem WHERE l_quantity < 2",
     "c2_access": "SELECT count(*) > 0 AS reachable, 1 AS k FROM lineitem WHERE l_suppkey = 1 AND l_partkey = 1 UNION ALL SELECT false, 2",
