@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.operators import codemap, datalog, finite, graph, insights, retrieval
+from gneiss.operators.fixpoint import checkpointed
 from gneiss.operators.lint import lint_spec
 from gneiss.operators.templates import Correction, Library
 from gneiss.plans.review import review_plan
@@ -24,6 +25,7 @@ class Engine:
         self.spark = spark
         self.cache = ExtractionCache(spark, cache_root) if cache_root else None
         self._library = library
+        self.warnings: DataFrame | None = None
 
     @property
     def library(self) -> Library:
@@ -31,10 +33,22 @@ class Engine:
         return self._library
 
     def facts_of(self, files: list[str] | DataFrame) -> CodeGraph:
-        """The facts of files: paths, or a DataFrame (path, content)."""
+        """The facts of files: paths, or a DataFrame (path, content). With a cache folder, only changed files are parsed.
+
+        self.warnings then has (path, reason) of paths that were left out.
+        """
+        self.warnings = None
         if not isinstance(files, DataFrame):
-            files, _ = extract.read_files(self.spark, files)
-        return extract.extract(files)
+            files, self.warnings = extract.read_files(self.spark, files)
+        if not self.cache:
+            return extract.extract(files)
+        known, misses = self.cache.rows_of(files)
+        known = checkpointed(known)  # before an eviction can delete what it is read from
+        if not misses.limit(1).count():
+            return extract.extract(files, parsed=known)
+        parsed = checkpointed(extract.parse(misses))
+        self.cache.save(misses, parsed)
+        return extract.extract(files, parsed=known.unionByName(parsed))
 
     def graph(self, facts: CodeGraph, analysis: str, *, target: str | None = None, source: str | None = None, entry_points: list[str] | None = None, against: str | None = None, save_snapshot: str | None = None, include_insights: bool = False, top: int = 10):
         """A DataFrame; for path a list of names, for facts a text."""
@@ -105,7 +119,13 @@ class Engine:
         return datalog.solve(self.spark, text, query, relations, explain)
 
     def lint(self, solver: str, text: str) -> dict:
-        return lint_spec(text, solver)
+        """Repairs until one more pass changes nothing; fixes are those of all passes."""
+        out = lint_spec(text, solver)
+        fixes = list(out["fixes"])
+        while out["fixes"] and (again := lint_spec(out["spec"], solver))["spec"] != out["spec"]:
+            out = again
+            fixes += again["fixes"]
+        return out | {"fixes": fixes}
 
     def templates(self, query: str | None = None, name: str | None = None, domain: str | None = None, solver: str | None = None) -> DataFrame:
         if name:
@@ -127,8 +147,9 @@ class Engine:
         if fill is None:
             return plan
         t = self.library.get(plan["template"]).first()
-        spec = self.lint(t.solver, fill(plan["instructions"]))["spec"]
-        out = Correction().run(spec, lambda s: self.verify(t.solver, s, query), fix or (lambda *_: None))
+        linted = lambda s: self.lint(t.solver, s)["spec"] if s else s
+        again = (lambda *x: linted(fix(*x))) if fix else (lambda *_: None)
+        out = Correction().run(linted(fill(plan["instructions"])), lambda s: self.verify(t.solver, s, query), again)
         self._library = self.library.record_use(t.name, out["converged"])
         return plan | out
 

@@ -75,15 +75,20 @@ class Problem:
     whole: bool = True
 
 
+def _parts(spark: SparkSession, values: range) -> int:
+    """A product of domains multiplies their partitions, so that a small domain gets one."""
+    return max(1, min(spark.sparkContext.defaultParallelism, len(values) >> 16))
+
+
 def assignments(spark: SparkSession, problem: Problem, names: list[str] | None = None) -> DataFrame:
     """All assignments that meet the named constraints (all by default); each constraint filters as soon as its variables are there."""
     left = {k: problem.constraints[k] for k in (names if names is not None else problem.constraints)}
     order = sorted(problem.variables, key=lambda v: len(problem.variables[v]))
-    rows, bound = spark.range(1).select(), set()
+    rows, bound = spark.range(0, 1, 1, 1).select(), set()
     for v in order:
         values = problem.variables[v]
         kind = "boolean" if values and isinstance(values[0], bool) else "long" if values and isinstance(values[0], int) else "string"
-        one = spark.range(values.start, values.stop).toDF(v) if isinstance(values, range) else spark.createDataFrame([(x,) for x in values], f"`{v}` {kind}")
+        one = spark.range(values.start, values.stop, 1, _parts(spark, values)).toDF(v) if isinstance(values, range) else spark.createDataFrame([(x,) for x in values], f"`{v}` {kind}").coalesce(1)
         for k in [k for k, (_, used) in left.items() if used == {v}]:
             one = one.where(left.pop(k)[0])
         bound.add(v)

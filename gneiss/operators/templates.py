@@ -54,17 +54,112 @@ RELATED = {
 }
 
 
+#: What each template says around its slots: declarations, assertions and rules.
+_SKELETONS = {
+    "policy-contradiction": """; a request that both an allowing and a denying rule cover
+{{SLOT:type_declarations}}
+(declare-const principal {{SLOT:principal_type}})
+(declare-const action {{SLOT:action_type}})
+(declare-const resource {{SLOT:resource_type}})
+(assert {{SLOT:allow_rules}})
+(assert {{SLOT:deny_rules}})""",
+    "policy-reachability": """; some action on the resource that the policies let the principal take
+{{SLOT:type_declarations}}
+(declare-const principal {{SLOT:principal_type}})
+(declare-const action {{SLOT:action_type}})
+(declare-const resource {{SLOT:resource_type}})
+(assert (= principal {{SLOT:target_principal}}))
+(assert (= resource {{SLOT:target_resource}}))
+(assert {{SLOT:policies}})""",
+    "config-equivalence": """; an input that the two settings decide differently
+{{SLOT:declarations}}
+(assert (not (= {{SLOT:config_a}} {{SLOT:config_b}})))""",
+    "constraint-satisfaction": """; versions within their ranges that meet every requirement and no conflict
+{{SLOT:declarations}}
+(assert {{SLOT:domains}})
+(assert {{SLOT:requirements}})
+(assert (not {{SLOT:conflicts}}))""",
+    "schema-consistency": """; a value that the first schema takes and the second refuses
+{{SLOT:declarations}}
+(assert {{SLOT:schema_a}})
+(assert (not {{SLOT:schema_b}}))""",
+    "rule-inference": """% facts, and the rules that derive more of them
+{{SLOT:facts}}
+{{SLOT:rules}}""",
+    "graph-reachability": """% edge(From, To)
+{{SLOT:edges}}
+reach(A, B) :- edge(A, B).
+reach(A, C) :- edge(A, B), reach(B, C).""",
+    "permission-derivation": """% has_role(User, Role); above(Senior, Junior); grants(Role, Action, Resource)
+{{SLOT:role_assignments}}
+{{SLOT:role_hierarchy}}
+{{SLOT:permissions}}
+holds(U, R) :- has_role(U, R).
+holds(U, J) :- holds(U, S), above(S, J).
+may(U, A, O) :- holds(U, R), grants(R, A, O).""",
+    "invariant-check": """; an input with which the body breaks what should hold after it
+{{SLOT:inputs}}
+{{SLOT:outputs}}
+(assert {{SLOT:precondition}})
+(assert {{SLOT:body}})
+(assert (not {{SLOT:postcondition}}))""",
+    "state-machine-deadlock": """; a step between the two states; none means that the second isn't next to the first
+{{SLOT:states}}
+(declare-const here {{SLOT:state_type}})
+(declare-const next {{SLOT:state_type}})
+(assert (= here {{SLOT:from_state}}))
+(assert (= next {{SLOT:to_state}}))
+(assert {{SLOT:transitions}})""",
+    "boundary-condition": """; a value that passes the guard and is out of bounds
+{{SLOT:declarations}}
+(declare-const index {{SLOT:index_type}})
+(assert (= index {{SLOT:expression}}))
+(assert {{SLOT:guard}})
+(assert {{SLOT:violation}})""",
+    "association-rule-check": """% calls(Function, Callee); paired(First, Second)
+{{SLOT:call_facts}}
+{{SLOT:required_pairs}}
+unpaired(F, A, B) :- paired(A, B), calls(F, A), \\+ calls(F, B).""",
+    "collective-classification": """% calls(Function, Callee); seed(Function)
+{{SLOT:call_facts}}
+{{SLOT:seeds}}
+{{SLOT:label}}(F) :- seed(F).
+{{SLOT:label}}(F) :- calls(F, G), {{SLOT:label}}(G).""",
+    "taint-propagation": """% flow(From, To); source(Node); sanitizer(Node); sink(Node)
+{{SLOT:flow_facts}}
+{{SLOT:taint_sources}}
+{{SLOT:sanitizers}}
+{{SLOT:sinks}}
+tainted(X) :- source(X).
+tainted(Y) :- tainted(X), flow(X, Y), \\+ sanitizer(Y).
+violation(X) :- tainted(X), sink(X).""",
+}
+#: Slots that hold a name or a type, and those that hold declarations; the others of a solver hold a term.
+_NAMED = {"principal_type", "action_type", "resource_type", "state_type", "index_type", "target_principal", "target_resource", "from_state", "to_state"}
+_DECLARED = {"type_declarations", "declarations", "inputs", "outputs", "states"}
+
+
+def _shape(solver: str, slot: str) -> str:
+    if slot == "label":
+        return "the name of a predicate"
+    if solver == "prolog":
+        return "Prolog facts or rules, each with a period"
+    return "one name" if slot in _NAMED else "SMT-LIB declarations" if slot in _DECLARED else "one SMT-LIB term"
+
+
 def starters() -> list[tuple]:
     rows = []
     for name, domain, solver, signature, slots, source in _STARTERS:
         names = slots.split()
-        comment = ";" if solver == "z3" else "%"
-        skeleton = "\n".join(f"{comment} {s.replace('_', ' ')}\n{{{{SLOT:{s}}}}}" for s in names)
-        shape = "SMT-LIB declarations or terms" if solver == "z3" else "Prolog facts or rules, each with a period"
-        rows.append((name, domain, solver, signature, skeleton, [(s, f"the {s.replace('_', ' ')}", shape) for s in names], [(source, f"write {source} as " + ", ".join(names).replace("_", " "))], None, None))
+        rows.append((name, domain, solver, signature, _SKELETONS[name], [(s, f"the {s.replace('_', ' ')}", _shape(solver, s)) for s in names], [(source, f"write {source} as " + ", ".join(names).replace("_", " "))], None, None))
     return rows
 
 
+def fill(skeleton: str, values: dict[str, str]) -> str:
+    """A specification: each slot replaced by its value; a slot without one is an error."""
+    return re.sub(r"\{\{SLOT:(\w+)\}\}", lambda m: values[m[1]], skeleton)
+
+
 @dataclass(frozen=True)
 class Library:
     """Immutable: templates, an append-only log of uses, and promotions. Each change gives a new library."""

@@ -65,17 +65,20 @@ def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     return small.select("path", F.decode("content", "UTF-8").alias("content")), large.unionAll(missing)
 
 
-def extract(files: DataFrame, aliases: DataFrame | None = None, resolve_calls: bool = True) -> CodeGraph:
-    """The facts of files (path, content). Every file is parsed once; the parsed rows are a table of their own.
+PARSED = "path string, relation string, k int, a string, b string, c string, d string, line int"
+_ROWS_AT_ONCE = 50_000
 
-    aliases: (prefix, target) of import specifiers, see tsconfig_aliases.
-    """
-    spark = files.sparkSession
+
+def parse(files: DataFrame) -> DataFrame:
+    """The rows (PARSED) that a parser finds in each of files (path, content): relation, place in it, values. Other languages give none."""
     languages, parsers = extension_languages(), _BUILT_IN | {k: p for k, (_, p) in _adapters.items()}
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")]).astype({"line": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
             for path, content in zip(batch.path, batch.content):
                 language = languages.get("." + path.rpartition("/")[2].rpartition(".")[2].lower())
                 if language is None:
@@ -92,11 +95,24 @@ def extract(files: DataFrame, aliases: DataFrame | None = None, resolve_calls: b
                     add("exports", k, name)
                 for k, (caller, callee, chain, owner, types) in enumerate(f.pending):
                     add("pending", k, caller, callee, owner, json.dumps([chain, types]))
-            yield pd.DataFrame(rows, columns=["path", "relation", "k", "a", "b", "c", "d", "line"]).astype({"line": "Int32"})
+                if len(rows) >= _ROWS_AT_ONCE:  # what is held follows the rows, not the batch of files
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
+
+    return files.select("path", "content").mapInPandas(run, PARSED)
 
+
+def extract(files: DataFrame, aliases: DataFrame | None = None, resolve_calls: bool = True, parsed: DataFrame | None = None) -> CodeGraph:
+    """The facts of files (path, content). Every file is parsed once; the parsed rows are a table of their own.
+
+    aliases: (prefix, target) of import specifiers, see tsconfig_aliases. parsed: the rows of parse(files), where they are known.
+    """
     from gneiss.operators.fixpoint import checkpointed
 
-    parsed = checkpointed(files.select("path", "content").mapInPandas(run, "path string, relation string, k int, a string, b string, c string, d string, line int"))
+    spark = files.sparkSession
+    parsed = parsed if parsed is not None else checkpointed(parse(files))
     # seq follows the order of paths and of rows in a file
     order = parsed.select("path").distinct().orderBy("path").withColumn("file_no", F.monotonically_increasing_id())
     rows = checkpointed(parsed.join(order, "path").withColumn("seq", F.shiftleft("file_no", 20) + F.col("k")))

@@ -10,7 +10,15 @@ _TOKEN = re.compile(r'(?P<skip>[\s,]+|;[^\n]*|#!.*|\^(?:\{[^}]*\}|:?[\w.]+))|(?P
 _DEFINE = {"defn": True, "defn-": False, "defmacro": True, "defmulti": True}
 #: Forms that are no calls.
 _SPECIAL = {"def", "defn", "defn-", "defmacro", "defmulti", "defmethod", "defrecord", "deftype", "defprotocol", "ns", "let", "if", "if-let", "if-not", "when", "when-let", "when-not", "do", "fn", "loop", "recur", "cond", "case", "try", "catch", "finally", "throw", "quote", "var", "new", "set!", "for", "doseq", "dotimes", "binding", "->", "->>", "some->", "some->>", "cond->", "as->", "and", "or", "comment", "declare", "letfn", "with-open", "."}
-_THREADING = {"->", "->>", "some->", "some->>", "cond->", "cond->>", "as->"}
+#: Macros that thread a value through steps, with the number of forms before the steps.
+_THREADING = {"->": 1, "->>": 1, "some->": 1, "some->>": 1, "cond->": 1, "cond->>": 1, "doto": 1, "as->": 2}
+#: Functions that call their first argument.
+_CALLS_FIRST = set(
+    "map mapv mapcat pmap map-indexed filter filterv remove reduce reduce-kv reductions keep keep-indexed apply partial every? not-every? some not-any?"
+    " sort-by group-by partition-by take-while drop-while split-with iterate repeatedly memoize fnil run! trampoline complement".split()
+)
+#: Functions that call each of their arguments.
+_CALLS_ALL = {"comp", "juxt", "use-fixtures"}
 
 
 class _Form(list):
@@ -121,10 +129,11 @@ def extract(path: str, text: str) -> FileFacts:
             head = str(x[0])
             if head not in _SPECIAL and head not in bound and not head.startswith("."):
                 f.call(caller, resolved(head.rstrip(".")))
-            if head in _THREADING:
-                for step in x[2:]:
-                    if _is_symbol(step) and step not in bound:
-                        f.call(caller, resolved(str(step)))
+            plain = head.rpartition("/")[2] or head
+            called = x[1 + _THREADING[plain] :] if plain in _THREADING else x[1:2] if plain in _CALLS_FIRST else x[1:] if plain in _CALLS_ALL else ()
+            for step in called:
+                if _is_symbol(step) and step not in bound and resolved(str(step)) != caller and ("/" in step or step not in _SPECIAL):
+                    f.call(caller, resolved(str(step)))
             if head in ("let", "loop", "when-let", "if-let", "for", "doseq", "binding") and len(x) > 1 and isinstance(x[1], _Form):
                 bound = bound | {str(s) for s in x[1][::2] if _is_symbol(s)}
             for arg in x[1:]:

@@ -34,7 +34,7 @@ def follow(files: DataFrame, cache: ExtractionCache, out: str, checkpoint: str,
             for name, key in (("defines", "file"), ("imports", "file"), ("exports", "file"), ("files", "path")):
                 rows = getattr(facts, name)
                 rows.join(hashes, rows[key] == hashes["of"]).drop("of").write.mode("append").parquet(f"{out}/{name}")
-            cache.save(misses.select("path", "content"))
+            cache.save(misses.select("path", "content"), evict=False)  # the manifest says which content is the latest
         misses.unpersist()
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
