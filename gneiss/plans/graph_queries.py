@@ -114,6 +114,25 @@ def g10_communities(spark, sf_dir):
     return insights.communities(trade(spark, sf_dir))
 
 
+def g10_modularity(spark, sf_dir):
+    """The communities' modularity, held against that of the regions and of one community for all."""
+    g = trade(spark, sf_dir)
+    regions = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.col("n_regionkey").cast("string").alias("id"))
+    edges, degrees = graph.undirected(g), graph.degrees(g)
+    m = edges.agg(F.count("*").alias("m"))
+
+    def modularity(of):
+        one, other = of.select(F.col("name").alias("a"), F.col("id").alias("x")), of.select(F.col("name").alias("b"), F.col("id").alias("y"))
+        inner = edges.join(one, "a").join(other, "b").where("x = y").groupBy(F.col("x").alias("id")).agg(F.count("*").alias("inner"))
+        total = degrees.join(of, "name").groupBy("id").agg(F.sum("degree").alias("degree"))
+        parts = total.join(inner, "id", "left").crossJoin(F.broadcast(m))  # one row
+        return parts.agg(F.sum(F.expr("coalesce(inner, 0) / m - pow(degree / (2 * m), 2)")).alias("q"))
+
+    found = insights.communities(g).select("name", F.col("id").cast("string").alias("id"))
+    both = modularity(found).crossJoin(modularity(regions).withColumnRenamed("q", "of_regions"))  # a row each
+    return found.agg(F.count("*").alias("nodes"), F.count_distinct("name").alias("names")).crossJoin(both).select("nodes", "names", F.expr("q >= of_regions and q >= 0").alias("good"), F.round("of_regions", 9).alias("of_regions"))
+
+
 def g11_hubs(spark, sf_dir):
     return insights.hubs(hierarchy(spark, sf_dir), 25)
 
@@ -229,6 +248,10 @@ ORACLE_SQL = {
     "g15_entry_points_functions": f"WITH {TRADE} SELECT DISTINCT name FROM defines WHERE kind = 'function' AND NOT EXISTS (FROM calls WHERE callee = name)",
     "g16_fact_lines": f"WITH {HIER}, {LINES} SELECT line FROM lines",
     "g18_nodes": f"WITH {HIER} SELECT name FROM nodes",
+    "g10_modularity": f"""WITH {TRADE}, e AS (SELECT DISTINCT a, b FROM undirected), m AS (SELECT count(*) AS m FROM e), r AS (SELECT 'n' || n_nationkey AS name, n_regionkey AS id FROM nation),
+        d AS (SELECT name, count(*) AS degree FROM (SELECT a AS name FROM e UNION ALL SELECT b FROM e) GROUP BY name),
+        t AS (SELECT id, sum(degree) AS degree FROM d JOIN r USING (name) GROUP BY id), i AS (SELECT x.id, count(*) AS n FROM e JOIN r x ON x.name = a JOIN r y ON y.name = b WHERE x.id = y.id GROUP BY x.id)
+      SELECT (SELECT count(*) FROM d) AS nodes, (SELECT count(*) FROM d) AS names, true AS good, round((SELECT sum(coalesce(i.n, 0) / m - pow(degree / (2 * m), 2)) FROM t LEFT JOIN i USING (id), m), 9) AS of_regions""",
     "g18_undirected": f"WITH {TRADE} SELECT a, b FROM undirected",
     "g18_degrees": f"""WITH {HIER}, u AS (SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM calls WHERE caller <> callee)
         SELECT name, count(*) AS degree FROM (SELECT a AS name FROM u UNION ALL SELECT b FROM u) GROUP BY name""",
