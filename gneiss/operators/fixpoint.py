@@ -2,13 +2,14 @@
 
 Each round joins the frontier with the edges and removes what was seen. Neither side is broadcast by hand: edges
 and frontier are of any size, and adaptive execution picks the join. A round's result is cut from its lineage by a
-checkpoint in the folder that the session names, so a lost executor costs one round at most.
+checkpoint or a table in the folder that the session names, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like checkpointed, as a table of files, whose size Spark knows.
+
+    A checkpoint keeps the estimated size of its plan, and a join's is the product of its sides': in loops that join
+    their own last result these numbers soon have millions of digits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gneiss-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def frontiers(edges: DataFrame, seeds: DataFrame, most: int | None = None, stop_at: DataFrame | None = None) -> DataFrame:
     """(node, depth, parent) of all that seeds (a column `node`) reach by at least one edge (src, dst).
 
@@ -75,13 +88,9 @@ def closure(edges: DataFrame) -> DataFrame:
         whole = whole.unionAll(delta)
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node) of all nodes on a cycle: members of strongly connected components of two and more, and self-loops.
-
-    Nodes that nothing leads to, or that lead nowhere, are trimmed until none is left; only what then remains, the
-    cycles and what lies between them, goes through the closure.
-    """
-    core = checkpointed(edges.select("src", "dst").distinct())
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that are left once nodes that nothing leads to, or that lead nowhere, are taken away again and again."""
+    core = checkpointed(edges)
     n = core.count()
     while n:
         both = core.select(F.col("src").alias("node")).intersect(core.select(F.col("dst").alias("node")))
@@ -90,7 +99,44 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         if left == n:
             break
         n = left
-    return closure(core).where("src = dst").select(F.col("src").alias("node"))
+    return core
+
+
+def colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that leads to it by any number of edges, itself included."""
+    colour = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct().withColumn("colour", F.col("node"))
+    colour = written(colour.withColumn("new", F.lit(True)))
+    while True:
+        sent = colour.where("new").select(F.col("node").alias("src"), "colour").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("got"))
+        colour = written(colour.join(sent, "node", "left").select("node", F.least("colour", "got").alias("colour"), (F.coalesce("got", "colour") < F.col("colour")).alias("new")))
+        if not colour.where("new").limit(1).count():
+            return colour.select("node", "colour")
+
+
+def on_cycles(edges: DataFrame, small: int = 2000) -> DataFrame:
+    """(node) of all nodes on a cycle: members of strongly connected components of two and more, and self-loops.
+
+    Only what trimming leaves, the cycles and what lies between them, is looked at. A core of at most `small` nodes
+    has a closure of at most small * small rows, which takes the fewest rounds. A larger one is coloured: a colour
+    names the smallest node before it, and what leads back to that node within its colour is its strong component;
+    found ones are taken out, the rest is trimmed and coloured again. That keeps a row a node. Both give the same.
+    """
+    core = trimmed(edges.select("src", "dst").distinct())
+    nodes = core.select("src").distinct().count()  # after trimming each node leads somewhere
+    if nodes <= small:
+        return closure(core).where("src = dst").select(F.col("src").alias("node"))
+    found = core.select(F.col("src").alias("node")).limit(0)
+    while core.limit(1).count():
+        colour = colours(core)
+        side = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"colour_{c}"))  # noqa: B023, E731
+        within = core.join(side("src"), "src").join(side("dst"), "dst").where("colour_src = colour_dst")
+        back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        roots = colour.where("node = colour").select("node")
+        members = written(frontiers(back, roots).select("node"))
+        found = found.unionAll(members)
+        gone = members.unionAll(roots).distinct()
+        core = trimmed(core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return found
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -99,7 +145,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates two star operations until nothing changes: grouped minima, which combine before the shuffle, and
     joins, which Spark can split where a node has very many neighbours. Nodes without another node are absent.
     """
-    e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v"))).first())
@@ -111,5 +157,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        e = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
