@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gneiss.operators.fixpoint import checkpointed as cut
 from gneiss.operators.fixpoint import components, shared_dir
 
-__all__ = ["by_bytes", "components", "cut", "dropped", "once", "running_totals", "shared_dir", "stored", "table"]
+__all__ = ["by_bytes", "components", "cut", "dropped", "dropped_table", "once", "running_totals", "shared_dir", "stored", "table"]
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -56,6 +56,13 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dropped_table(df: DataFrame) -> None:
+    """Deletes the files of a table made by stored, which no plan reads any more."""
+    files = df.inputFiles()
+    if files:
+        dropped(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def by_bytes(texts: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about `most` bytes, so that a worker's memory doesn't follow the batch's rows."""
     begin = size = 0

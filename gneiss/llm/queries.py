@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import chat, language, pii, secrets
+from gneiss.llm import chat, language, pii, secrets, trie
+from gneiss.llm.audit import audit
 from gneiss.llm.common import table
 from gneiss.llm.decontam import contamination
 from gneiss.llm.mixing import mix
@@ -82,6 +83,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = trie.rebuilt(trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, ids).drop("turn_name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 OP9_SQL = """
@@ -186,7 +198,70 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT
 FROM embeddings
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, good, bad,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask
+  FROM w JOIN first USING (t) LEFT JOIN marks USING (doc_id)
+), counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (bad = 1) AS bad FROM judged GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS letter, (1 << (ascii(substr(filter_order, step, 1)) - 65)) AS bit,
+    coalesce(list_sum([1 << (ascii(substr(filter_order, k, 1)) - 65) FOR k IN range(1, step)]), 0)::BIGINT AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), each AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(bad) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM each
+"""
+
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_concat([4294967295::UBIGINT], [ascii(x)::UBIGINT FOR x IN string_split(c::VARCHAR, '')]),
+    lambda crc, x: list_reduce(list_concat([xor(crc, x)], list_resize([]::UBIGINT[], 8, 0::UBIGINT)),
+      lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), joined AS (
+  SELECT i.c, 0 AS own, b.t, b.role, b.text FROM ids i JOIN turns b ON b.c = i.base AND b.t <= i.h
+  UNION ALL SELECT i.c, 1, o.t, o.role, o.text FROM ids i JOIN turns o ON o.c = i.c AND o.t > i.h
+), placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, t) AS d FROM joined),
+paths AS (
+  SELECT c, d, text, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS k FROM placed
+  UNION ALL SELECT c, 0, '', '' FROM ids
+), nodes AS (SELECT d, k, min(c) AS c, count(*) AS n, any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words FROM paths GROUP BY d, k),
+up AS (SELECT n.*, m.c AS parent, m.k AS above FROM nodes n LEFT JOIN paths p ON p.c = n.c AND p.d = n.d - 1 LEFT JOIN nodes m ON m.d = p.d AND m.k = p.k),
+children AS (SELECT d - 1 AS d, above AS k, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM up u LEFT JOIN children USING (d, k)),
+trees AS (
+  SELECT p.d, p.k, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n - 1) * u.words) AS saved FROM full_ u JOIN paths p ON p.c = u.c AND p.d <= u.d GROUP BY ALL
+), ends AS (SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d FROM paths GROUP BY c) JOIN paths USING (c, d) GROUP BY ALL)
+SELECT u.c AS conv_id, u.d::BIGINT AS depth, u.parent AS parent_conv_id, u.n AS n_convs, u.n_children, t.n_leaves, t.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_ u JOIN trees t USING (d, k) LEFT JOIN ends USING (d, k)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op1_substring_dedup": OP1_SQL,
     "op3_decontamination": OP3_SQL,
     "op6_multi_index": OP6_SQL,
