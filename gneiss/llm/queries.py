@@ -16,6 +16,7 @@ from gneiss.llm.multiindex import near_vectors
 from gneiss.llm.sharding import shard_rows
 from gneiss.llm.simhash import simhash_groups
 from gneiss.llm.substring import remove_repeated
+from gneiss.llm.suffixes import remove_repeated_bytes
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(turns, ids).drop("turn_name")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 OP9_SQL = """
@@ -259,7 +265,22 @@ SELECT u.c AS conv_id, u.d::BIGINT AS depth, u.parent AS parent_conv_id, u.n AS
 FROM full_ u JOIN trees t USING (d, k) LEFT JOIN ends USING (d, k)
 """
 
+OP13_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS t FROM documents),
+pieces AS (SELECT r, o, substr(t, 2 * o + 1, 910) AS t FROM (SELECT r, t, unnest(range(0, greatest(length(t) // 2 - 199, 0), 256)) AS o FROM d)),
+strings AS (SELECT r, o + i AS i, md5(substr(t, 2 * i + 1, 400)) AS h FROM (SELECT r, o, t, unnest(range(0, length(t) // 2 - 199)) AS i FROM pieces)),
+again AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+found AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 200, -1) AS new FROM strings JOIN again USING (h)),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM found) GROUP BY r, k),
+whole AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n FROM spans GROUP BY r)
+SELECT doc_id, (length(t) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN t ELSE array_to_string([
+    substr(t, (2 * CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END + 1)::BIGINT, (2 * (CASE WHEN k > len(a) THEN length(t) // 2 ELSE a[k] END - CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END))::BIGINT) FOR k IN range(1, len(a) + 2)], '') END)) AS kept_sha256
+FROM d LEFT JOIN whole USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_suffix_dedup": OP13_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
     "op1_substring_dedup": OP1_SQL,
