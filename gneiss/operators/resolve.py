@@ -38,19 +38,27 @@ def rewrite_alias(specifiers: DataFrame, aliases: DataFrame) -> DataFrame:
     return best.select("source", F.concat("x.target", F.substr(F.col("source"), F.length("x.prefix") + 1)).alias("rewritten"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """imports with `resolved`: a relative specifier, or one that an alias rewrites, to the first candidate file; exact case before any case.
+def folder_of(file: str) -> Column:
+    return F.when(F.col(file).contains("/"), F.regexp_replace(file, "/[^/]*$", "")).otherwise("")
 
-    Each distinct (folder, specifier) is resolved once. A bare specifier without an alias stays unresolved.
-    """
-    folder = F.regexp_replace("file", "/[^/]*$", "")
-    rows = imports.withColumn("folder", F.when(F.col("file").contains("/"), folder).otherwise(""))
-    asked = rows.select("folder", "source").distinct()
+
+def import_candidates(imports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(folder, source, rank, path): the paths that each distinct specifier of a folder could mean."""
+    asked = imports.select(folder_of("file").alias("folder"), "source").distinct()
     relative = asked.where(F.col("source").rlike(r"^\.\.?(/|$)")).select("folder", "source", normalize_path(F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), F.col("source"))).alias("base"))
     if aliases is not None:
         other = asked.where(~F.col("source").rlike(r"^\.\.?(/|$)"))
         relative = relative.unionAll(other.join(rewrite_alias(other, aliases), "source").select("folder", "source", normalize_path(F.col("rewritten")).alias("base")))
-    tries = relative.select("folder", "source", F.explode(candidates(F.col("base"))).alias("t")).select("folder", "source", "t.rank", "t.path")
+    return relative.select("folder", "source", F.explode(candidates(F.col("base"))).alias("t")).select("folder", "source", "t.rank", "t.path")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """imports with `resolved`: a relative specifier, or one that an alias rewrites, to the first candidate file; exact case before any case.
+
+    Each distinct (folder, specifier) is resolved once. A bare specifier without an alias stays unresolved.
+    """
+    rows = imports.withColumn("folder", folder_of("file"))
+    tries = import_candidates(imports, aliases)
     paths = files.select(F.col("path").alias("file_path")).distinct()
     exact = tries.join(paths, F.col("path") == F.col("file_path")).withColumn("loose", F.lit(0))
     loose = tries.join(paths, F.lower("path") == F.lower("file_path")).withColumn("loose", F.lit(1))

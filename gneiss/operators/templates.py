@@ -131,7 +131,7 @@ unpaired(F, A, B) :- paired(A, B), calls(F, A), \\+ calls(F, B).""",
 {{SLOT:sanitizers}}
 {{SLOT:sinks}}
 tainted(X) :- source(X).
-tainted(Y) :- tainted(X), flow(X, Y), \\+ sanitizer(Y).
+tainted(Y) :- tainted(X), flow(X, Y), \\+ sanitizer(X).
 violation(X) :- tainted(X), sink(X).""",
 }
 #: Slots that hold a name or a type, and those that hold declarations; the others of a solver hold a term.

@@ -197,7 +197,7 @@ def s16_association_rule(spark, sf_dir):
 
 
 def s16_taint(spark, sf_dir):
-    """Nations' trade, from the nations of Europe; multiples of six stop it, odd ones are sinks."""
+    """Nations' trade, from the nations of Europe; it reaches multiples of six and goes no further there; odd ones are sinks."""
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), "n_nationkey", "n_regionkey")
     flow = trade(spark, sf_dir).edges().toDF("a", "b")
     given = {"flow/2": flow, "source/1": nation.where("n_regionkey = 3").select("a"), "sanitizer/1": nation.where("n_nationkey % 6 = 0").select("a"), "sink/1": nation.where("n_nationkey % 2 = 1").select("a")}
@@ -397,7 +397,7 @@ ORACLE_SQL = {
     "s16_association_rule": """WITH p(a, b) AS (VALUES ('R', 'N'), ('A', 'R'))
         SELECT DISTINCT 'o' || l_orderkey AS who, a, b FROM lineitem l JOIN p ON l_returnflag = a WHERE NOT EXISTS (FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_returnflag = b)""",
     "s16_taint": f"""WITH RECURSIVE {TRADE}, t(node) AS (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 3
-          UNION SELECT callee FROM t JOIN edges ON caller = node WHERE substr(callee, 2)::INT % 6 <> 0)
+          UNION SELECT callee FROM t JOIN edges ON caller = node WHERE substr(node, 2)::INT % 6 <> 0)
         SELECT node FROM t WHERE substr(node, 2)::INT % 2 = 1""",
     "s16_permissions": """WITH RECURSIVE above AS (SELECT x.n_nationkey AS a, min(y.n_nationkey) AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND y.n_nationkey > x.n_nationkey GROUP BY 1),
         holds(who, r) AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT who, b FROM holds JOIN above ON a = r)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.scalars import EXTENSIONS, line_count, token_estimate
 from gneiss.operators import resolve
+from gneiss.operators.numbering import numbered
 from gneiss.sources.extract import golang, lisp, python, script
 from gneiss.sources.extract.model import FileFacts
 from gneiss.sources.facts import CodeGraph
@@ -104,6 +105,51 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PARSED)
 
 
+def relation(rows: DataFrame, name: str, columns: dict[str, str], *order: str) -> DataFrame:
+    """One relation of parsed rows, its values (a, b, c, d, line, path) under their names, with the columns that order it."""
+    return rows.where(F.col("relation") == name).select(*(F.col(x).alias(c) for c, x in columns.items()), *order)
+
+
+def pending_calls(rows: DataFrame, *order: str) -> DataFrame:
+    """(caller, callee, enclosing_class, receiver_chain, var_types) of the calls whose receiver isn't known yet."""
+    of = relation(rows, "pending", {"caller": "a", "callee": "b", "enclosing_class": "c", "d": "d"}, *order)
+    chain, types = F.from_json(F.get_json_object("d", "$[0]"), "array<string>"), F.from_json(F.get_json_object("d", "$[1]"), "map<string,string>")
+    return of.select("caller", "callee", "enclosing_class", chain.alias("receiver_chain"), types.alias("var_types"), *order)
+
+
+EXTENDS = {"class_name": "a", "parent": "b"}
+FIELDS = {"class_name": "a", "field": "b", "type": "c"}
+CONTAINS = {"parent": "a", "child": "b"}
+CALLS = {"caller": "a", "callee": "b"}
+IMPORTS = {"file": "path", "name": "a", "source": "b"}
+
+
+def inherited_fields(rows: DataFrame, extends: DataFrame, *order: str) -> DataFrame:
+    """(class_name, field, type, owner), inherited ones included. The last of order is what later rows are larger by."""
+    fields = relation(rows, "fields", FIELDS, *order)
+    return resolve.inherited(fields.withColumn("seq", F.struct(*order)), extends, "field", "type")
+
+
+def inherited_methods(rows: DataFrame, extends: DataFrame, *order: str) -> DataFrame:
+    """(class_name, method, v, owner), inherited ones included."""
+    own = relation(rows, "contains", {"class_name": "a", "method": "b"}, *order)
+    return resolve.inherited(own.withColumns({"v": F.lit(""), "seq": F.struct(*order)}), extends, "method", "v")
+
+
+def file_stats(files: DataFrame) -> DataFrame:
+    return files.select("path", token_estimate(F.col("content")).alias("token_estimate"), line_count(F.col("content")).alias("line_count"))
+
+
+def plain_relations(rows: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
+    """The relations that are what the parser found, from rows with seq: definitions, exports, containment and files."""
+    return {
+        "defines": relation(rows, "defines", {"file": "path", "name": "a", "kind": "b", "line": "line", "signature": "c"}, "seq"),
+        "exports": relation(rows, "exports", {"file": "path", "name": "a"}, "seq"),
+        "contains": relation(rows, "contains", CONTAINS, "seq"),
+        "files": relation(rows, "files", {"path": "path", "language": "a", "file_doc": "b"}, "seq").join(stats, "path"),
+    }
+
+
 def extract(files: DataFrame, aliases: DataFrame | None = None, resolve_calls: bool = True, parsed: DataFrame | None = None) -> CodeGraph:
     """The facts of files (path, content). Every file is parsed once; the parsed rows are a table of their own.
 
@@ -111,31 +157,14 @@ def extract(files: DataFrame, aliases: DataFrame | None = None, resolve_calls: b
     """
     from gneiss.operators.fixpoint import checkpointed
 
-    spark = files.sparkSession
     parsed = parsed if parsed is not None else checkpointed(parse(files))
     # seq follows the order of paths and of rows in a file
-    order = parsed.select("path").distinct().orderBy("path").withColumn("file_no", F.monotonically_increasing_id())
-    rows = checkpointed(parsed.join(order, "path").withColumn("seq", F.shiftleft("file_no", 20) + F.col("k")))
-    of = lambda relation, *columns: rows.where(F.col("relation") == relation).select(*columns, "seq")
-    stats = files.select("path", token_estimate(F.col("content")).alias("token_estimate"), line_count(F.col("content")).alias("line_count"))
-    file_rows = of("files", "path", F.col("a").alias("language"), F.col("b").alias("file_doc")).join(stats, "path")
-    calls = of("calls", F.col("a").alias("caller"), F.col("b").alias("callee")).withColumn("callee_qn", F.lit(None).cast("string"))
-    imports = of("imports", F.col("path").alias("file"), F.col("a").alias("name"), F.col("b").alias("source"))
-    contains = of("contains", F.col("a").alias("parent"), F.col("b").alias("child"))
+    rows = numbered(parsed, ["path", "k", "relation"])
+    plain = plain_relations(rows, file_stats(files))
+    calls = relation(rows, "calls", CALLS, "seq").withColumn("callee_qn", F.lit(None).cast("string"))
     if resolve_calls:
-        extends = of("extends", F.col("a").alias("class_name"), F.col("b").alias("parent")).drop("seq")
-        fields = resolve.inherited(of("fields", F.col("a").alias("class_name"), F.col("b").alias("field"), F.col("c").alias("type")), extends, "field", "type")
-        own = contains.select(F.col("parent").alias("class_name"), F.col("child").alias("method"), F.lit("").alias("v"), "seq")
-        methods = resolve.inherited(own, extends, "method", "v")
-        pending = of("pending", F.col("a").alias("caller"), F.col("b").alias("callee"), F.col("c").alias("enclosing_class"), F.from_json(F.get_json_object("d", "$[0]"), "array<string>").alias("receiver_chain"), F.from_json(F.get_json_object("d", "$[1]"), "map<string,string>").alias("var_types"))
-        calls = resolve.qualify_callees(calls, pending, fields, methods, contains)
-    imports = resolve.resolve_imports(imports, file_rows, aliases)
-    return CodeGraph.of(
-        spark,
-        defines=of("defines", F.col("path").alias("file"), F.col("a").alias("name"), F.col("b").alias("kind"), "line", F.col("c").alias("signature")),
-        calls=calls,
-        imports=imports,
-        exports=of("exports", F.col("path").alias("file"), F.col("a").alias("name")),
-        contains=contains,
-        files=file_rows,
-    )
+        extends = relation(rows, "extends", EXTENDS)
+        fields, methods = inherited_fields(rows, extends, "seq"), inherited_methods(rows, extends, "seq")
+        calls = resolve.qualify_callees(calls, pending_calls(rows, "seq"), fields, methods, plain["contains"])
+    imports = resolve.resolve_imports(relation(rows, "imports", IMPORTS, "seq"), plain["files"], aliases)
+    return CodeGraph.of(files.sparkSession, calls=calls, imports=imports, **plain)

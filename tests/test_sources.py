@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.engine import Engine
-from gneiss.operators.templates import Correction, fill
+from gneiss.operators import datalog
+from gneiss.operators.numbering import numbered
+from gneiss.operators.templates import Correction, fill, starters
 from gneiss.sources import extract
 from gneiss.sources.cache import ExtractionCache
 
@@ -67,3 +69,28 @@ def test_slots_and_repairs(spark):
     out = Engine(spark).lint("z3", "```\n(check-sat)\n```lisp\n(assert true)\n```")
     assert out["spec"] == "(assert true)" and out["errors"] == []
     assert not Correction(rounds=0).run("x", None, None)["converged"]
+
+
+def test_rows_are_numbered_in_order_over_any_number_of_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2100")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(2500).selectExpr("concat('f', lpad(id % 40, 2, '0'), '.py') as path", "cast(id div 40 as int) as k", "'x' as relation")
+        got = numbered(rows, ["path", "k", "relation"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [x.seq for x in sorted(got, key=lambda x: (x.path, x.k))] == list(range(2500))
+
+
+def test_taint_stops_behind_a_sanitizer(spark):
+    """The template's rules: what sanitizes is tainted itself, what comes after it isn't."""
+    slots = {
+        "flow_facts": "flow(user_input, parse_body). flow(parse_body, validate). flow(validate, build_query). flow(build_query, execute_sql). flow(user_input, log_request).",
+        "taint_sources": "source(user_input).", "sanitizers": "sanitizer(validate).", "sinks": "sink(execute_sql). sink(log_request).",
+    }
+    program = fill(next(x[4] for x in starters() if x[0] == "taint-propagation"), slots)
+    ask = lambda q: sorted(x["formatted"] for x in datalog.solve(spark, program, q)["answers"])
+    assert ask("tainted(X)") == ["X = log_request", "X = parse_body", "X = user_input", "X = validate"]
+    assert ask("violation(X)") == ["X = log_request"]
