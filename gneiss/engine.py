@@ -100,9 +100,13 @@ class Engine:
             return codemap.symbol_detail(facts, name)
         raise ValueError("mode is overview, file with a path, or symbol with a name")
 
-    def search(self, query: str, files: DataFrame, top_k: int = 10, embed=None) -> DataFrame:
-        corpus = retrieval.search_corpus(extract.extract(files), files)
-        return retrieval.semantic_search(self.spark, corpus, query, top_k, embed)
+    def search(self, query: str, files: DataFrame, top_k: int = 10, embed=None, embed_key: str | None = None, dimension: int = 64) -> DataFrame:
+        """Functions and methods by the meaning of their text; with a cache folder, texts are parsed and embedded once."""
+        facts = self.facts_of(files) if self.cache else extract.extract(files)
+        corpus = retrieval.search_corpus(facts, files)
+        # one folder for each function that embeds: vectors of different ones aren't comparable
+        vectors = retrieval.VectorCache(self.spark, f"{self.cache.at}/vectors/{embed_key or 'own'}", dimension) if self.cache and (embed is None or embed_key) else None
+        return retrieval.semantic_search(self.spark, corpus, query, top_k, embed, dimension, vectors)
 
     def verify(self, solver: str, text: str, query: str | None = None, queries: list[str] | None = None, form: str = "prolog", explain: bool = False, relations: dict[str, DataFrame] | None = None):
         """A result, or a list of results for queries. form: prolog, or mermaid for a diagram."""

@@ -173,20 +173,23 @@ def degrees(graph: CodeGraph) -> DataFrame:
     return e.select(F.col("a").alias("name")).unionAll(e.select(F.col("b").alias("name"))).groupBy("name").agg(F.count("*").alias("degree"))
 
 
-def diff(before: CodeGraph, after: CodeGraph) -> DataFrame:
-    """(change: added or removed, entity: node, edge, import, export or hyperedge, key): the symmetric difference."""
+def entity_keys(graph: CodeGraph) -> dict[str, DataFrame]:
+    """By entity (node, edge, import, export, hyperedge) the distinct keys (key) that tell whether two bundles differ."""
     sep = F.lit("\t")
-    views = {
-        "node": lambda g: g.nodes().select(F.col("name").alias("key")),
-        "edge": lambda g: g.edges().select(F.concat("caller", sep, "callee").alias("key")),
-        "import": lambda g: g.imports.select(F.concat("file", sep, "name", sep, "source").alias("key")).distinct(),
-        "export": lambda g: g.exports.select(F.concat("file", sep, "name").alias("key")).distinct(),
-        "hyperedge": lambda g: g.hyperedges.select(F.concat("id", sep, "relation", sep, F.array_join(F.array_sort("nodes"), ",")).alias("key")).distinct(),
+    return {
+        "node": graph.nodes().select(F.col("name").alias("key")),
+        "edge": graph.edges().select(F.concat("caller", sep, "callee").alias("key")),
+        "import": graph.imports.select(F.concat("file", sep, "name", sep, "source").alias("key")).distinct(),
+        "export": graph.exports.select(F.concat("file", sep, "name").alias("key")).distinct(),
+        "hyperedge": graph.hyperedges.select(F.concat("id", sep, "relation", sep, F.array_join(F.array_sort("nodes"), ",")).alias("key")).distinct(),
     }
-    out = None
-    for entity, view in views.items():
-        a, b = view(before), view(after)
-        for change, x, y in (("added", b, a), ("removed", a, b)):
+
+
+def diff(before: CodeGraph, after: CodeGraph) -> DataFrame:
+    """(change: added or removed, entity: node, edge, import, export or hyperedge, key): the symmetric difference."""
+    out, a, b = None, entity_keys(before), entity_keys(after)
+    for entity in a:
+        for change, x, y in (("added", b[entity], a[entity]), ("removed", a[entity], b[entity])):
             rows = x.join(y, "key", "left_anti").select(F.lit(change).alias("change"), F.lit(entity).alias("entity"), "key")
             out = rows if out is None else out.unionAll(rows)
     return out

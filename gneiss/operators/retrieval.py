@@ -118,15 +118,56 @@ def search_corpus(graph: CodeGraph, contents: DataFrame, most: int = 2000) -> Da
     return rows.select(F.concat_ws("#", "file", "name", F.col("line").cast("string")).alias("id"), "file", "name", "line", F.substring(text, 1, most).alias("text"), graph.defines["seq"])
 
 
-def semantic_search(spark: SparkSession, corpus: DataFrame, query: str, top_k: int = 10, embed=None, dimension: int = 64) -> DataFrame:
-    """(id, score, file, name, line, text): embed maps a text column to a vector column; the default is the deterministic one. top_k is held to 1 .. 100."""
+class VectorCache:
+    """Vectors of texts by the SHA-256 of the text, in a folder that the cluster shares, by buckets of the key.
+
+    A save adds to the buckets of its keys; a lookup reads those of its texts. Vectors of another length are misses.
+    """
+
+    def __init__(self, spark: SparkSession, at: str, dimension: int):
+        self.spark, self.at, self.dimension = spark, at, dimension
+
+    def _stored(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        schema = "key string, vector array<double>, bucket string"
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.at)
+
+    def put(self, keyed: DataFrame) -> None:
+        """Adds (key, vector)."""
+        rows = keyed.select("key", "vector", F.substring("key", 1, 1).alias("bucket")).distinct()
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.at)
+
+    def vectors(self, texts: DataFrame, embed) -> DataFrame:
+        """texts (a column `text`, and others) with key and vector: stored ones are read, others embedded once a distinct text and added."""
+        buckets = [x.b for x in texts.select(F.substring(F.sha2("text", 256), 1, 1).alias("b")).distinct().collect()]  # at most 16
+        known = self._stored().where(F.col("bucket").isin(buckets) & (F.size("vector") == self.dimension)).dropDuplicates(["key"])
+        _, misses = with_cached(texts, known, self.dimension)
+        fresh = checkpointed(misses.select("key", "text").distinct().select("key", embed(F.col("text")).alias("vector")))
+        if fresh.limit(1).count():
+            self.put(fresh)
+        both = known.select("key", "vector").unionByName(fresh)
+        return texts.withColumn("key", F.sha2("text", 256)).join(both, "key")
+
+
+def semantic_search(spark: SparkSession, corpus: DataFrame, query: str, top_k: int = 10, embed=None, dimension: int = 64, cache: VectorCache | None = None) -> DataFrame:
+    """(id, score, file, name, line, text): embed maps a text column to a vector column; the default is the deterministic one. top_k is held to 1 .. 100.
+
+    cache: where vectors of texts are kept; only texts that it doesn't know are embedded.
+    """
     embed = embed or (lambda c: mock_embedding(c, dimension))
     vector = spark.createDataFrame([(query,)], "q string").select(embed(F.col("q"))).first()[0]
     # of rows with one id the last counts: by seq where the corpus has it, then by text
     seq = F.col("seq") if "seq" in corpus.columns else F.lit(0)
     row = F.struct("file", "name", "line", "text")
     last = corpus.groupBy("id").agg(F.max_by(row, F.struct(seq, row)).alias("x")).select("id", "x.*")
-    hits = nearest(last.select("id", embed(F.col("text")).alias("vector")), vector, min(100, max(1, top_k)))
+    if cache is None:
+        vectors = last.select("id", embed(F.col("text")).alias("vector"))
+    else:
+        last = checkpointed(last)
+        vectors = cache.vectors(last.select("id", "text"), embed).select("id", "vector")
+    hits = nearest(vectors, vector, min(100, max(1, top_k)))
     return hits.join(last, "id").orderBy(F.desc("score"), "id")
 
 

@@ -153,7 +153,7 @@ def g13_surprises_given(spark, sf_dir):
     return rows.select("source", "target", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, CodeGraph]:
+def halves(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, CodeGraph]:
     def of(where: str) -> CodeGraph:
         o = table(spark, sf_dir, "orders").where(where)
         calls = o.select(F.concat(F.lit("customer/"), F.col("o_custkey")).alias("caller"), F.concat(F.lit("priority/"), F.col("o_orderpriority")).alias("callee"))
@@ -164,7 +164,7 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, CodeGraph]:
 
 
 def g14_diff(spark, sf_dir):
-    return graph.diff(*_halves(spark, sf_dir))
+    return graph.diff(*halves(spark, sf_dir))
 
 
 def g15_entry_points(spark, sf_dir):

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from gneiss.operators import datalog, finite, graph, resolve, retrieval
 from gneiss.operators.fixpoint import shared_dir
 from gneiss.operators.templates import RELATED, Library, fill, starters
-from gneiss.plans.graph_queries import TRADE
+from gneiss.plans.graph_queries import ORACLE_SQL as GRAPH_SQL
+from gneiss.plans.graph_queries import TRADE, halves
 from gneiss.sources import extract
 from gneiss.sources.bindings import hierarchy, table, trade
 from gneiss.sources.cache import ExtractionCache
 from gneiss.sources.extract.model import FileFacts
 from gneiss.sources.facts import CodeGraph
+from gneiss.streaming import incremental
 
 TYPESCRIPT = """/** Supplier {k}. */
 import { load{n} as pull } from './base{n}';
@@ -167,6 +169,39 @@ def k6_snapshot_diff(spark, sf_dir):
     return graph.diff(cache.load_snapshot("before"), g).select("change", "entity", "key")
 
 
+def k6_snapshot_trees(spark, sf_dir):
+    """Orders of two overlapping periods as two snapshots, compared by their digest trees."""
+    cache = ExtractionCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}")
+    for name, g in zip(("before", "after"), halves(spark, sf_dir)):
+        cache.save_snapshot(name, g)
+    return cache.diff_snapshots("before", "after")
+
+
+USER = """export class U{k} extends T{n} {
+  run{k}(x: number) { return this.db.find(x); }
+}
+"""
+TYPE = """export class T{k} { private db: R{k}{n}; }
+class R{k}{n} { find(x: number) { return x; } }
+"""
+
+
+def j8_streamed_calls(spark, sf_dir):
+    """Three batches of a stream: a file for each user of a batch, whose class extends that of the user's last event in it.
+
+    The second batch changes the files of types with names of even length, and with them the calls of users it doesn't name.
+    """
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last = table(spark, sf_dir, "events").groupBy(F.expr("event_id % 3").alias("batch"), "user_id").agg(F.max_by("event_type", "event_id").alias("type"))
+    types = table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", F.explode(F.array(F.lit(0), F.lit(1))).alias("batch")).where("batch = 0 or length(event_type) % 2 = 0")
+    for batch in range(3):
+        files = _files(last.where(F.col("batch") == batch), "src/u{k}.ts", USER, "user_id", "type").unionAll(_files(types.where(F.col("batch") == batch), "src/t{k}.ts", TYPE, "event_type", "batch"))
+        files.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("path string, content string").parquet(f"{at}/in")
+        incremental.follow(stream, ExtractionCache(spark, f"{at}/cache"), f"{at}/out", f"{at}/progress").awaitTermination()
+    return incremental.latest(spark, f"{at}/out").calls.select("caller", "callee", "callee_qn")
+
+
 def f25_diff_text(spark, sf_dir):
     g = hierarchy(spark, sf_dir)
     return spark.createDataFrame([(graph.diff_summary(graph.diff(g.with_(exports=g.exports.where("false")), g)),)], "text string")
@@ -392,6 +427,10 @@ ORACLE_SQL = {
     ),
     "k2_parsed_again": "SELECT 'src/base' || n_nationkey || '.ts' AS path FROM nation WHERE n_nationkey BETWEEN 10 AND 17",
     "k6_snapshot_diff": "SELECT 'added' AS change, 'export' AS entity, 'src/services/' || lower(c_mktsegment) || '.ts' || chr(9) || 'customer/' || c_custkey AS key FROM customer WHERE c_acctbal > 0",
+    "k6_snapshot_trees": GRAPH_SQL["g14_diff"],
+    "j8_streamed_calls": """WITH last AS (SELECT event_id % 3 AS batch, user_id, arg_max(event_type, event_id) AS type FROM events GROUP BY ALL),
+        now AS (SELECT user_id, arg_max(type, batch) AS type FROM last GROUP BY user_id)
+        SELECT 'run' || user_id AS caller, 'find' AS callee, 'R' || type || CASE WHEN length(type) % 2 = 0 THEN '1' ELSE '0' END || '.find' AS callee_qn FROM now""",
     "f25_diff_text": "SELECT count(*) || ' new exports' AS text FROM customer WHERE c_acctbal > 0",
     "k9_vector_store": "SELECT vec_id::VARCHAR AS id, len(e) AS d, round(sqrt(list_sum([x * x FOR x IN e])), 6) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL)",
     "s16_association_rule": """WITH p(a, b) AS (VALUES ('R', 'N'), ('A', 'R'))

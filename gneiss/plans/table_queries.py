@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gneiss.functions import scalars
-from gneiss.operators import datalog, finite, logic, resolve, retrieval
+from gneiss.operators import datalog, finite, logic, neighbours, resolve, retrieval
+from gneiss.operators.fixpoint import shared_dir
+from gneiss.operators.postings import StoredBM25
 from gneiss.sources import cache
 from gneiss.sources.bindings import table, transitions
 from gneiss.sources.facts import CodeGraph
@@ -134,6 +138,31 @@ def b3_bm25_search(spark, sf_dir):
     return _index(spark, sf_dir).search(QUERY, 20).select("doc", F.round("score", 6).alias("score"))
 
 
+def _stored_index(spark, sf_dir):
+    """An index in three additions, the last of which brings back documents that were removed."""
+    at = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    docs, index = table(spark, sf_dir, "documents"), StoredBM25(spark, at)
+    index.add(docs.where("doc_id % 3 <> 0"), "doc_id", "text")
+    index.add(docs.where("doc_id % 3 = 0"), "doc_id", "text")
+    index.remove(docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("doc")))
+    index.add(docs.where("doc_id % 5 = 0"), "doc_id", "text")
+    return index
+
+
+def b2_stored_idf(spark, sf_dir):
+    return _stored_index(spark, sf_dir).idf().select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def b3_stored_search(spark, sf_dir):
+    return _stored_index(spark, sf_dir).search(QUERY, 20).select("doc", F.round("score", 6).alias("score"))
+
+
+def b6_nearest_to_each(spark, sf_dir):
+    """The ten nearest of every vector. Equal scores may come in any order of ids, so ids aren't shown."""
+    found = neighbours.nearest_to_each(table(spark, sf_dir, "embeddings"), 10, id_col="vec_id", vector_col="embedding")
+    return found.select(F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
 def b5_upsert(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("vec_id").alias("seq"))
     new = e.where("seq % 4 = 0").withColumn("vector", F.reverse("vector"))
@@ -402,6 +431,11 @@ ORACLE_SQL = {
 }
 _TAINT_SQL = f"""WITH RECURSIVE {SUPPLY}, clean AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size > 25),
   r AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 3 UNION SELECT f.dst FROM r JOIN flows f ON f.src = r.node WHERE r.node NOT IN (SELECT node FROM clean)) SELECT node FROM r"""
+ORACLE_SQL["b6_nearest_to_each"] = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+  s AS (SELECT a.vec_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY score DESC))::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
+ORACLE_SQL["b2_stored_idf"] = ORACLE_SQL["b1_bm25_idf"]
+ORACLE_SQL["b3_stored_search"] = ORACLE_SQL["b3_bm25_search"]
 ORACLE_SQL["l11_taint"] = _TAINT_SQL
 ORACLE_SQL["l11_taint_violations"] = _TAINT_SQL + " WHERE node IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0)"
 ORACLE_SQL["b10_near_duplicates"] = f"""WITH top AS ({ORACLE_SQL["b3_bm25_search"].replace("'" + QUERY + "'", "(SELECT text FROM documents WHERE doc_id = 7)").replace("LIMIT 20", "LIMIT 3")}),

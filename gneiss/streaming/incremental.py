@@ -99,6 +99,7 @@ class Facts:
             parsed = extract.parse(content)
         else:
             stored, misses = cache.rows_of(content)
+            stored = checkpointed(stored)  # before an eviction can delete what it is read from
             fresh = checkpointed(extract.parse(misses))
             cache.save(misses, fresh)
             parsed = stored.unionByName(fresh)
