@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.operators import codemap, graph, insights
+from gneiss.operators import codemap, graph, insights, reach
 from gneiss.sources import bindings
-from gneiss.sources.bindings import hierarchy, table, trade
+from gneiss.sources.bindings import hierarchy, hierarchy_calls, table, trade
 from gneiss.sources.facts import CodeGraph
 
 #: The views that the SQL shares.
@@ -163,6 +163,15 @@ def halves(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, CodeGraph]:
     return of("o_orderdate < timestamp '1998-06-01'"), of("o_orderdate >= timestamp '1996-01-01'")
 
 
+def g4_reach_pairs(spark, sf_dir):
+    """For each order: does its customer reach one of the suppliers, and one of the regions the order?"""
+    o, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier").count()
+    to = F.concat(F.lit("supplier/"), F.col("o_orderkey") % n + 1)
+    pairs = o.select(F.concat(F.lit("customer/"), "o_custkey").alias("a"), to.alias("b")).unionAll(o.select(F.concat(F.lit("region/"), F.col("o_orderkey") % 5), F.concat(F.lit("order/"), "o_orderkey")))
+    edges = hierarchy_calls(spark, sf_dir).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    return reach.reach_pairs(edges, pairs).select("a", "b", "reaches")
+
+
 def g14_diff(spark, sf_dir):
     return graph.diff(*halves(spark, sf_dir))
 
@@ -237,6 +246,12 @@ ORACLE_SQL = {
     "g9_layer_violations": """SELECT 'nation/' || c_nationkey AS caller, 'order/' || o_orderkey AS callee, 'handlers' AS caller_layer, 'repositories' AS callee_layer FROM orders JOIN customer ON o_custkey = c_custkey""",
     "g11_hubs": f"""WITH {HIER}, u AS (SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM calls WHERE caller <> callee)
         SELECT name, count(*) AS degree FROM (SELECT a AS name FROM u UNION ALL SELECT b FROM u) GROUP BY name ORDER BY degree DESC, name LIMIT 25""",
+    "g4_reach_pairs": """WITH n AS (SELECT count(*) AS n FROM supplier), sells AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+        buys AS (SELECT DISTINCT o_custkey, s.l_suppkey FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN sells s ON s.l_partkey = l.l_partkey),
+        asked AS (SELECT DISTINCT o_custkey, o_orderkey % n + 1 AS s FROM orders, n)
+        SELECT 'customer/' || a.o_custkey AS a, 'supplier/' || s AS b, l_suppkey IS NOT NULL AS reaches FROM asked a LEFT JOIN buys b ON b.o_custkey = a.o_custkey AND l_suppkey = s
+        UNION ALL SELECT 'region/' || o_orderkey % 5, 'order/' || o_orderkey, coalesce(n_regionkey = o_orderkey % 5, false)
+        FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "g14_diff": """WITH o AS (SELECT *, o_orderdate < TIMESTAMP '1998-06-01' AS early, o_orderdate >= TIMESTAMP '1996-01-01' AS late FROM orders),
       facts AS (
         SELECT 'node' AS entity, 'customer/' || o_custkey AS key, early, late FROM o UNION ALL SELECT 'node', 'priority/' || o_orderpriority, early, late FROM o

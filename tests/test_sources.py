@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.engine import Engine
-from gneiss.operators import datalog
+from gneiss.operators import datalog, graph
 from gneiss.operators.numbering import numbered
 from gneiss.operators.templates import Correction, fill, starters
-from gneiss.sources import extract
-from gneiss.sources.cache import ExtractionCache
+from gneiss.sources import digests, extract
+from gneiss.sources.cache import ExtractionCache, bucket_of
+from gneiss.sources.facts import CodeGraph
 
 FILES = [("a.py", "def one():\n    return two()\n"), ("b.py", "def two():\n    return 2\n"), ("notes.txt", "nothing")]
 
@@ -94,3 +95,65 @@ def test_taint_stops_behind_a_sanitizer(spark):
     ask = lambda q: sorted(x["formatted"] for x in datalog.solve(spark, program, q)["answers"])
     assert ask("tainted(X)") == ["X = log_request", "X = parse_body", "X = user_input", "X = validate"]
     assert ask("violation(X)") == ["X = log_request"]
+
+
+def _files(root):
+    """Parquet files by bucket."""
+    out = {}
+    for x in (root / "k" / "saves").rglob("*.parquet"):
+        out.setdefault(int(x.parent.name.removeprefix("bucket=")), set()).add(str(x))
+    return out
+
+
+def test_saves_and_evictions_touch_their_buckets_only(spark, tmp_path):
+    text = "def f{0}():\n    return {0}\n"
+    files = [(f"src/m{k:02d}.py", text.format(f"{k:02d}")) for k in range(40)]
+    size = len(files[0][1])
+    c = ExtractionCache(spark, f"file://{tmp_path}", "k", budget=44 * size)
+    df = spark.createDataFrame(files, "path string, content string")
+    bucket = {x.path: x.b for x in df.select("path", bucket_of("path").alias("b")).collect()}
+    c.save(df, extract.parse(df))
+    first = _files(tmp_path)
+    assert set(first) == set(bucket.values())
+    some = df.where("path in ('src/m03.py', 'src/m31.py')").withColumn("content", F.replace("content", F.lit("return "), F.lit("return 1")))
+    c.save(some, extract.parse(some))
+    second = _files(tmp_path)
+    touched = {bucket["src/m03.py"], bucket["src/m31.py"]}
+    assert {b for b in second if second[b] != first.get(b)} == touched
+    assert c.rows_of(df)[1].count() == 0  # both contents of a path are known
+    # six more: four of the oldest go, by the clock; of the buckets only those that are half out of date are rewritten
+    more = spark.createDataFrame([(f"lib/n{k}.py", text.format(f"{k:02d}")) for k in range(6)], "path string, content string")
+    c.save(more, extract.parse(more))
+    gone = sorted(x.path for x in c.rows_of(df)[1].collect())
+    assert gone == [f"src/m{k:02d}.py" for k in range(len(gone))] and len(gone) >= 4
+    third = _files(tmp_path)
+    added = {x.b for x in more.select(bucket_of("path").alias("b")).distinct().collect()}
+    assert {b for b in third if third[b] != second.get(b)} <= added | {bucket[p] for p in gone} | touched
+    assert sum(x.size for x in c.manifest().collect()) <= c.budget
+    untouched = set(first) - added - {bucket[p] for p in gone} - touched
+    assert untouched and all(third[b] == first[b] for b in untouched)
+    names_ = sorted(x.a for x in c.rows_of(df)[0].where("relation = 'defines'").collect())
+    assert names_ == [f"f{k:02d}" for k in range(len(gone), 40)]
+
+
+def test_trees_read_only_leaves_that_differ(spark, tmp_path):
+    many = [("a", f"f{k}", "function", k) for k in range(3000)]
+    before = CodeGraph.of(spark, defines=many, exports=[("a", f"f{k}") for k in range(100)])
+    after = CodeGraph.of(spark, defines=[*many[1:], ("a", "new", "function", 1)], exports=[("a", f"f{k}") for k in range(100)])
+    c = ExtractionCache(spark, f"file://{tmp_path}", "k")
+    c.save_snapshot("before", before)
+    c.save_snapshot("after", after)
+    found = c.diff_snapshots("before", "after")
+    assert sorted(tuple(x) for x in found.collect()) == sorted(tuple(x) for x in graph.diff(before, after).collect()) == [("added", "node", "new"), ("removed", "node", "f0")]
+    trees = [f"{c.at}/snapshots/{x}/00000001/tree" for x in ("before", "after")]
+    leaves = digests.differing_leaves(spark, *trees)
+    assert {e for e, _ in leaves} == {"node"} and 1 <= len(leaves) <= 2
+    keys = digests.keys_of(spark, trees[0], leaves)
+    assert keys.count() < 20
+    read = {tuple(x.rsplit("/", 3)[1:3]) for (x,) in keys.select(F.input_file_name()).collect()}
+    assert read <= {("entity=node", f"part={n // digests.FOLDER}") for _, n in leaves}
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "(entity" in plan.split("PartitionFilters")[1] and "leaf" in plan.split("PushedFilters")[1]
+    assert c.diff_snapshots("before", "before").collect() == []
+    with pytest.raises(ValueError):
+        c.diff_snapshots("before", "never")
