@@ -126,7 +126,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per source, order of the filters and step: counts of documents, and the filter's Shapley sum.
 
     docs needs a column `source` (null: empty string), labels has id_col, quality and toxic; a document is good if
-    any of its labels has quality 1, toxic likewise. Each row of docs counts, repeated ones too. Other columns are
+    any of its labels has quality 1, toxic likewise; labels without an id belong to none. Each row of docs counts, repeated ones too. Other columns are
     not read. An empty table gives no rows.
     """
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("bad"))
