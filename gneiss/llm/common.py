@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gneiss.operators.fixpoint import checkpointed as cut
 from gneiss.operators.fixpoint import components, shared_dir
 
-__all__ = ["by_bytes", "components", "cut", "dropped", "dropped_table", "once", "running_totals", "shared_dir", "stored", "table"]
+__all__ = ["by_bytes", "components", "cut", "dropped", "dropped_table", "freed", "once", "running_totals", "shared_dir", "stored", "table"]
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -63,6 +63,11 @@ def dropped_table(df: DataFrame) -> None:
         dropped(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the shuffle files of finished jobs deleted now: Spark does so once the driver collects their plans, which may be much later."""
+    spark._jvm.System.gc()
+
+
 def by_bytes(texts: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about `most` bytes, so that a worker's memory doesn't follow the batch's rows."""
     begin = size = 0

@@ -29,48 +29,67 @@ def named(rows: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
     return rows.join(numbered(rows.select(*keys).distinct(), name), keys)
 
 
-def _local_groups(keys: list[str]):
-    """Adds to sorted rows, by partition, the place of the first row of each row's group, and whether it is alone in it."""
+def _local_groups(keys: list[str], whole: bool):
+    """Adds to sorted rows, by partition, the place of the first row of each row's group, and whether it is alone in it.
+
+    Not whole: rows that are alone, and whose neighbours are rows of the partition, are left out, and places count the
+    others; keys are kept in the first and last row of the partition only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, place, start = None, 0, 0  # the last row waits for the next one; place: its number
+        # the last row waits for the next one; begun: whether it begins a group, start: of its group, place: of the next row
+        held, begun, start, place = None, True, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            n = rows.num_rows
-            new = np.zeros(n, bool)
+            new = np.zeros(rows.num_rows, bool)
             for k in keys:
                 x = rows.column(rows.schema.get_field_index(k)).to_numpy()
                 new[1:] |= x[1:] != x[:-1]
-            starts = np.where(new, np.arange(n) + place, start)
-            starts = np.maximum.accumulate(starts)
-            if n > 1:
-                first = np.arange(n) + place == starts
-                yield _with(rows.slice(0, n - 1), starts[:-1], first[:-1] & new[1:])
-            held, place, start = rows.slice(n - 1, 1), place + n - 1, int(starts[-1])
+            new[0] = begun
+            alone = new[:-1] & new[1:]
+            stays = np.ones(len(alone), bool) if whole else ~alone
+            if place == 0 and len(stays):
+                stays[0] = True  # the group of a partition's first row may have begun before it
+            at = place + np.cumsum(stays) - 1
+            first = np.maximum.accumulate(np.where(new[:-1], at, start))
+            if stays.any():
+                yield _with(rows.slice(0, len(alone)), first, alone, stays, None if whole else keys, place == 0)
+            place += int(stays.sum())
+            held, begun = rows.slice(rows.num_rows - 1, 1), bool(new[-1])
+            start = place if begun else int(first[-1]) if len(first) else start
         if held is not None:
-            yield _with(held, np.array([start]), np.array([start == place]))
+            yield _with(held, np.array([start]), np.array([begun]), np.ones(1, bool), None, True)
 
     return run
 
 
-def _with(rows: pa.RecordBatch, start: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(start.astype(np.int64)), pa.array(alone)], names=[*rows.schema.names, "_start", "_alone"])
+def _with(rows: pa.RecordBatch, start: np.ndarray, alone: np.ndarray, stays: np.ndarray, keys: list[str] | None, first: bool) -> pa.RecordBatch:
+    columns = [*rows.columns, pa.array(start.astype(np.int64)), pa.array(alone)]
+    if not stays.all():
+        keep = pa.array(stays)
+        columns = [c.filter(keep) for c in columns]
+    for name in keys or []:
+        k = rows.schema.get_field_index(name)
+        gone = np.ones(len(columns[k]), bool)
+        gone[0] = not first
+        columns[k] = pa.array(columns[k].to_numpy(), mask=gone)
+    return pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, "_start", "_alone"])
 
 
-def sorted_groups(rows: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+def sorted_groups(rows: DataFrame, keys: list[str], ties: list[str], whole: bool = True) -> DataFrame:
     """rows, sorted over all partitions by keys, then ties, with number, start and alone.
 
     number: the row's place in the order, from 0. start: that of the first row with the same keys (longs without
     nulls), so equal keys have equal starts, and starts are ordered as keys are. alone: whether no other row has the
     same keys. Partitions are cut by keys and ties, so a group of any size is spread over tasks; each task looks at
     its rows as they stream by, and what a group needs to know of other tasks follows from a row for each of them.
-    The sorted rows are written once.
+    The sorted rows are written once. Not whole: only rows that aren't alone, without the keys, numbered by themselves.
     """
     spark = rows.sparkSession
     in_order = rows.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
-    made = in_order.mapInArrow(_local_groups(keys), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _start long, _alone boolean")
+    made = in_order.mapInArrow(_local_groups(keys, whole), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _start long, _alone boolean")
     at = stored(made.withColumn("_at", F.monotonically_increasing_id()))
     key = F.struct(*keys)
     pieces = at.groupBy(F.shiftright("_at", _SHIFT).alias("piece")).agg(
@@ -91,9 +110,10 @@ def sorted_groups(rows: DataFrame, keys: list[str], ties: list[str]) -> DataFram
         base, before = base + x.n, x["last"]
     known = spark.createDataFrame(found, "_piece long, _base long, _begun long, _before boolean, _after boolean, _last long")
     out = at.join(F.broadcast(known), F.shiftright("_at", _SHIFT) == F.col("_piece"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in rows.columns],
+    out = out.select(
+        *[F.col(f"`{c}`") for c in rows.columns if whole or c not in keys],
         (F.col("_base") + F.col("_at").bitwiseAND((1 << _SHIFT) - 1)).alias("number"),
         F.when(F.col("_start") == 0, F.col("_begun")).otherwise(F.col("_base") + F.col("_start")).alias("start"),
         (F.col("_alone") & ~((F.col("_start") == 0) & F.col("_before")) & ~((F.col("_start") == F.col("_last")) & F.col("_after"))).alias("alone"),
     )
+    return out if whole else out.where("not alone").drop("alone")

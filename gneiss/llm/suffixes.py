@@ -12,8 +12,10 @@ same phrases between them, wherever they lie.
 2. Strings with the same L and R form a run. The ranks of its phrases name what lies between L and R: two blocks of a
    power of two of phrases that overlap. A run without a rank for them occurs nowhere else.
 3. Runs are sorted by a digest of all their bytes. Runs that are equal as a whole repeat as a whole.
-4. Where runs of one name differ, near the ends of repeated passages, one run of each kind gives its strings, and
-   their digests are sorted and ranked in the same way.
+4. Where runs of one name differ, near the ends of repeated passages, one run of each kind is cut into groups of
+   GROUP strings by their place relative to L. What all strings of a group share (its core) is sorted and ranked:
+   a group whose core is unique is done. Groups that are equal as a whole repeat as a whole.
+5. Where groups of one core differ, their strings are sorted and ranked one by one.
 
 Digests have 128 bits (BLAKE2b), and what they say is taken as equality. A hot phrase, run or string never is one
 task's work: sorts are cut between rows of the same rank, and texts that are copies are judged once.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import by_bytes, dropped_table, stored
+from gneiss.llm.common import by_bytes, dropped_table, freed, stored
 from gneiss.llm.ranks import sorted_groups
 
 _GRAM = 8
@@ -37,6 +39,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 #: Bytes of texts that a task works on together; a longer text is a load of its own.
 LOAD = 2 << 20
+#: Strings of a run that are looked at together where runs differ.
+GROUP = 8
 
 
 class Anchors:
@@ -114,30 +118,30 @@ def _loads(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, list[byte
 
 
 def _phrase_rows(least: int, reach: int):
-    """From (k0, k1, text): (x, y, k0, k1, at, size)."""
+    """From (t, text): (x, y, t, at, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in _loads(batch.column(2), least):
+            for rows, texts in _loads(batch.column(1), least):
                 digests, text, number, size = Anchors(texts, least, reach).phrases()
                 row = pa.array(rows[text])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), batch.column(0).take(row), batch.column(1).take(row), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["x", "y", "k0", "k1", "at", "size"],
+                    [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), batch.column(0).take(row), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    names=["x", "y", "t", "at", "size"],
                 )
 
     return run
 
 
 def _run_rows(least: int, reach: int):
-    """From (k0, k1, copies, text, names: list of {level, at, name}): the runs whose phrases have names."""
+    """From (t, copies, text, names: list of {level, at, name}): the runs whose phrases have names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(4)
+            names = batch.column(3)
             bounds, fields = names.offsets.to_numpy(), names.values
             level, at, name = (fields.field(f).to_numpy() for f in ("level", "at", "name"))
-            for rows, texts in _loads(batch.column(3), least):
+            for rows, texts in _loads(batch.column(2), least):
                 a = Anchors(texts, least, reach)
                 text, first, count, left, right = a.runs()
                 k = right - left
@@ -165,21 +169,56 @@ def _run_rows(least: int, reach: int):
                 row = pa.array(rows[text])
                 columns = [digests[:, 0].copy(), digests[:, 1].copy(), k[keep].astype(np.int32), x[keep], y[keep], (first - a.starts[text]).astype(np.int32), count.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, columns), *(batch.column(c).take(row) for c in range(3))], names=["e0", "e1", "k", "x", "y", "i", "n", "k0", "k1", "copies"]
+                    [*map(pa.array, columns), pa.array(place.astype(np.int32)), *(batch.column(c).take(row) for c in range(2))], names=["e0", "e1", "k", "x", "y", "i", "n", "place", "t", "copies"]
+                )
+
+    return run
+
+
+def _group_rows(least: int):
+    """From (t, text, wanted: list of {i, n, place, settled}): (c0, c1, f0, f1, t, i, n, settled) of groups of strings.
+
+    place: of L in the first string of the run. c: digest of the core, which all strings of a whole group hold, also
+    where the run has only some of them; f: of all bytes and of which strings there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2)
+            bounds, fields = wanted.offsets.to_numpy(), wanted.values
+            i, n, place, settled = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("i", "n", "place", "settled"))
+            for r, text in enumerate(batch.column(1).cast(pa.binary())):
+                part = slice(bounds[r], bounds[r + 1])
+                first, count, left, mark = (x[part].astype(np.int64) for x in (i, n, place, settled))
+                at = first + left  # of L; a string is `least` bytes from 0 .. left bytes before it on
+                top, low = left // GROUP, (left - count + 1) // GROUP
+                groups = top - low + 1
+                owner = np.repeat(np.arange(len(first)), groups)
+                number = top[owner] - (np.arange(groups.sum()) - np.repeat(np.cumsum(groups) - groups, groups))
+                most = np.minimum(left[owner], number * GROUP + GROUP - 1)
+                fewest = np.maximum((left - count + 1)[owner], number * GROUP)
+                begin, strings = at[owner] - most, most - fewest + 1
+                core = at[owner] - number * GROUP
+                data = text.as_py()
+                c = _digests(data, core, core + least - GROUP + 1, number)
+                f = _digests(data, begin, begin + strings - 1 + least, (most << 32) + strings)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.copy()) for x in (c[:, 0], c[:, 1], f[:, 0], f[:, 1])), pa.repeat(batch.column(0)[r], len(owner)), pa.array(begin.astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark[owner] > 0)],
+                    names=["c0", "c1", "f0", "f1", "t", "i", "n", "settled"],
                 )
 
     return run
 
 
 def _string_rows(least: int):
-    """From (k0, k1, text, wanted: list of {i, n, settled}): (w0, w1, k0, k1, i, settled), a row for each string."""
+    """From (t, text, wanted: list of {i, n, settled}): (w0, w1, t, i, settled), a row for each string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(3)
+            wanted = batch.column(2)
             bounds, fields = wanted.offsets.to_numpy(), wanted.values
             i, n, settled = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("i", "n", "settled"))
-            for r, text in enumerate(batch.column(2).cast(pa.binary())):
+            for r, text in enumerate(batch.column(1).cast(pa.binary())):
                 part = slice(bounds[r], bounds[r + 1])
                 count = n[part].astype(np.int64)
                 at = np.repeat(i[part] - np.cumsum(count) + count, count) + np.arange(count.sum())
@@ -187,10 +226,10 @@ def _string_rows(least: int):
                 for a in range(0, len(at), 1 << 16):
                     some = at[a : a + (1 << 16)]
                     digests = _digests(data, some, some + least)
-                    key = [pa.repeat(batch.column(c)[r], len(some)) for c in range(2)]
+                    key = pa.repeat(batch.column(0)[r], len(some))
                     mark = np.repeat(settled[part], count)[a : a + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), *key, pa.array(some.astype(np.int32)), pa.array(mark)], names=["w0", "w1", "k0", "k1", "i", "settled"]
+                        [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), key, pa.array(some.astype(np.int32)), pa.array(mark)], names=["w0", "w1", "t", "i", "settled"]
                     )
 
     return run
@@ -239,21 +278,22 @@ def text_key(text: Column) -> list[Column]:
 
 
 def ranked_blocks(phrases: DataFrame, least: int) -> DataFrame:
-    """(k0, k1, level, at, name): ranks of 2 ** level phrases from an anchor on that aren't unique, by prefix doubling."""
-    key, out, level = ["k0", "k1", "at"], [], 0
+    """(t, level, at, name): ranks of 2 ** level phrases from an anchor on that aren't unique, by prefix doubling."""
+    out, level = [], 0
     pairs = phrases
     while True:
-        ranked = sorted_groups(pairs, ["x", "y"], key)
-        names = stored(ranked.where("not alone").select(*key, F.col("start").alias("name"), "size"))
+        ranked = sorted_groups(pairs, ["x", "y"], ["t", "at"], whole=False)
+        names = stored(ranked.select("t", "at", F.col("start").alias("name"), "size"))
         dropped_table(ranked)
         dropped_table(pairs)
-        out.append(names.select(*key, F.lit(level).alias("level"), "name"))
+        freed(phrases.sparkSession)
+        out.append(names.select("t", F.lit(level).alias("level"), "at", "name"))
         if not names.limit(1).count():
             break
-        left = names.select(*key, F.col("name").alias("x"), F.col("size").alias("left"))
-        right = names.select("k0", "k1", (F.col("at") - (1 << level)).alias("at"), F.col("name").alias("y"), F.col("size").alias("right"))
+        left = names.select("t", "at", F.col("name").alias("x"), F.col("size").alias("left"))
+        right = names.select("t", (F.col("at") - (1 << level)).alias("at"), F.col("name").alias("y"), F.col("size").alias("right"))
         # a block whose half is unique is unique; one of more bytes than a string has is in none
-        pairs = stored(left.join(right, key).where(f"left + right <= {least}").select("x", "y", *key, (F.col("left") + F.col("right")).alias("size")))
+        pairs = stored(left.join(right, ["t", "at"]).where(f"left + right <= {least}").select("x", "y", "t", "at", (F.col("left") + F.col("right")).alias("size")))
         level += 1
     whole = out[0]
     for names in out[1:]:
@@ -261,6 +301,14 @@ def ranked_blocks(phrases: DataFrame, least: int) -> DataFrame:
     return whole
 
 
+def _asked(texts: DataFrame, in_order: DataFrame, name: list[str], columns: list[str]) -> DataFrame:
+    """(t, text, wanted: list of columns): the first row of each kind, for names of several kinds that aren't all settled."""
+    kinds = in_order.where("number = start")
+    mixed = kinds.groupBy(*name).agg(F.count("*").alias("kinds"), F.bool_and("settled").alias("all")).where("kinds > 1 and not all").select(*name)
+    wanted = kinds.join(mixed, name, "left_semi").groupBy("t").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    return texts.join(wanted, "t").select("t", "text", "wanted")
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, reach: int | None = None, with_text: bool = True) -> DataFrame:
     """Removes each byte covered by a string of `least` bytes that also starts elsewhere in docs.
 
@@ -268,26 +316,37 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left (binary: a string may begin or end inside of a character). Texts are taken as UTF-8, null ones as empty;
     those shorter than `least` stay. Repeated rows are rows like others, so texts that occur twice are removed whole.
     Rows are told apart by their texts alone: ids may be null or repeated. Other columns are not read. An empty table
-    gives no rows. reach: grams of which one is an anchor, at most (least - 7) // 2.
+    gives no rows. reach: grams of which one is an anchor, at most (least - 7) // 2, which is taken without it.
     """
-    reach = reach or max(1, min(60, (least - _GRAM + 1) // 2))
+    spark = docs.sparkSession
+    reach = reach or max(1, (least - _GRAM + 1) // 2)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), *text_key(text), text.alias("text"))
-    texts = stored(rows.groupBy("k0", "k1").agg(F.count("*").alias("copies"), F.first("text").alias("text")))
+    # t, a number for each distinct text, is written with it
+    texts = rows.groupBy("k0", "k1").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    texts = stored(texts.withColumn("t", F.monotonically_increasing_id()))
     long = texts.where(f"octet_length(text) >= {least}")
-    phrases = stored(long.select("k0", "k1", "text").mapInArrow(_phrase_rows(least, reach), "x long, y long, k0 long, k1 long, at int, size int"))
-    names = ranked_blocks(phrases, least).groupBy("k0", "k1").agg(F.collect_list(F.struct("level", "at", "name")).alias("names"))
-    made = "e0 long, e1 long, k int, x long, y long, i int, n int, k0 long, k1 long, copies long"
-    runs = stored(long.join(names, ["k0", "k1"]).select("k0", "k1", "copies", "text", "names").mapInArrow(_run_rows(least, reach), made))
-    in_order = sorted_groups(runs, ["e0", "e1"], ["k0", "k1", "i"])
-    in_order = in_order.withColumn("settled", ~F.col("alone") | (F.col("copies") > 1))
-    kinds = in_order.where("number = start")
-    mixed = kinds.groupBy("k", "x", "y").agg(F.count("*").alias("kinds"), F.bool_and("settled").alias("all")).where("kinds > 1 and not all").select("k", "x", "y")
-    wanted = kinds.join(mixed, ["k", "x", "y"], "left_semi").groupBy("k0", "k1").agg(F.collect_list(F.struct("i", "n", "settled")).alias("wanted"))
-    strings = stored(long.join(wanted, ["k0", "k1"]).select("k0", "k1", "text", "wanted").mapInArrow(_string_rows(least), "w0 long, w1 long, k0 long, k1 long, i int, settled boolean"))
-    again = sorted_groups(strings, ["w0", "w1"], ["k0", "k1", "i"]).where("not alone and not settled").select("k0", "k1", "i", F.lit(1).alias("n"))
-    found = in_order.where("settled and copies = 1").select("k0", "k1", "i", "n").unionAll(again)
-    found = found.groupBy("k0", "k1").agg(F.collect_list(F.struct("i", "n")).alias("found"))
+    phrases = stored(long.select("t", "text").mapInArrow(_phrase_rows(least, reach), "x long, y long, t long, at int, size int"))
+    names = ranked_blocks(phrases, least).groupBy("t").agg(F.collect_list(F.struct("level", "at", "name")).alias("names"))
+    made = "e0 long, e1 long, k int, x long, y long, i int, n int, place int, t long, copies long"
+    runs = stored(long.join(names, "t").select("t", "copies", "text", "names").mapInArrow(_run_rows(least, reach), made))
+    in_order = sorted_groups(runs, ["e0", "e1"], ["t", "i"]).withColumn("settled", ~F.col("alone") | (F.col("copies") > 1))
+    dropped_table(runs)
+    freed(spark)
+    # one run of each kind, where kinds of one name differ
+    groups = _asked(long, in_order, ["k", "x", "y"], ["i", "n", "place", "settled"])
+    groups = stored(groups.mapInArrow(_group_rows(least), "c0 long, c1 long, f0 long, f1 long, t long, i int, n int, settled boolean"))
+    cores = sorted_groups(groups, ["c0", "c1"], ["t", "i"], whole=False).select(F.col("start").alias("core"), "f0", "f1", "t", "i", "n", "settled")
+    of_core = sorted_groups(cores, ["f0", "f1"], ["t", "i"]).withColumnRenamed("settled", "known").withColumn("settled", ~F.col("alone") | F.col("known"))
+    dropped_table(groups)
+    # one group of each kind, where groups of one core differ
+    strings = _asked(long, of_core, ["core"], ["i", "n", "settled"])
+    strings = stored(strings.mapInArrow(_string_rows(least), "w0 long, w1 long, t long, i int, settled boolean"))
+    again = sorted_groups(strings, ["w0", "w1"], ["t", "i"], whole=False).where("not settled").select("t", "i", F.lit(1).alias("n"))
+    dropped_table(strings)
+    freed(spark)
+    found = in_order.where("settled and copies = 1").select("t", "i", "n").unionAll(of_core.where("settled and not known").select("t", "i", "n")).unionAll(again)
+    found = found.groupBy("t").agg(F.collect_list(F.struct("i", "n")).alias("found"))
     made = "k0 long, k1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    by_text = texts.join(found, ["k0", "k1"], "left").select("k0", "k1", "copies", "text", "found").mapInArrow(_kept_rows(least, with_text), made)
+    by_text = texts.join(found, "t", "left").select("k0", "k1", "copies", "text", "found").mapInArrow(_kept_rows(least, with_text), made)
     return rows.select("id", "k0", "k1").join(by_text, ["k0", "k1"]).drop("k0", "k1").withColumnRenamed("id", id_col)
