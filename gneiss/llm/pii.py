@@ -291,12 +291,12 @@ def entities(text: Column) -> Column:
 
 
 def checked_words(found: Column) -> Column:
-    """The distinct (kind, key) of entities whose replacement has to be checked."""
-    part = "array<struct<kind:string,key:string>>"
-    email = lambda x: F.array(F.struct(F.lit("email").alias("kind"), F.lower(x["e"]).alias("key"))).cast(part)
-    words = lambda x: F.transform(F.filter(_words(x["e"]), lambda w: w["kind"].rlike("^(?:first|last)_")), lambda w: F.struct(w["kind"].alias("kind"), w["key"].alias("key"))).cast(part)
+    """The distinct (kind, key) of entities whose replacement has to be checked. Made distinct as strings, which are hashed: structs are compared pair by pair."""
+    joined = lambda kind, k: F.concat_ws("\x1f", kind, k)
+    words = lambda x: F.transform(F.filter(_words(x["e"]), lambda w: w["kind"].rlike("^(?:first|last)_")), lambda w: joined(w["kind"], w["key"]))
     named = F.filter(found, lambda x: x["kind"].isin("email", "name"))
-    return F.array_distinct(F.flatten(F.transform(named, lambda x: F.when(x["kind"] == "email", email(x)).otherwise(words(x)))))
+    each = F.transform(named, lambda x: F.when(x["kind"] == "email", F.array(joined(F.lit("email"), F.lower(x["e"])))).otherwise(words(x)))
+    return F.transform(F.array_distinct(F.flatten(each)), lambda s: F.struct(F.substring_index(s, "\x1f", 1).alias("kind"), F.substring_index(s, "\x1f", -1).alias("key")))
 
 
 def later_attempts(rows: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 import regex
@@ -100,3 +101,14 @@ def test_clashing_surrogates_get_another(spark, monkeypatch):
 def test_another_key_gives_others(spark, key):
     rows = make(spark, [(1, "John Smith, 123-45-6789, a@b.de")])
     assert pii.pseudonymize(rows, key).first().text != pii.pseudonymize(rows, key + "x").first().text
+
+
+def test_many_distinct_entities_in_one_text(spark):
+    """The distinct words of a text are found in time linear in it: 40,000 e-mails, then 20,000 names, all different."""
+    mails = [f"user{k}.x@host{k % 97}.org" for k in range(40_000)]
+    names = [f"Mr Ab{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000 % 10]}{'op'[k // 10000]}" for k in range(20_000)]
+    df = spark.createDataFrame([(1, " , ".join(mails)), (2, " , ".join(names))], "doc_id long, text string")
+    began = time.monotonic()
+    found = {x.doc_id: x for x in df.select("doc_id", F.size(pii.checked_words(pii.entities(F.col("text")))).alias("n")).collect()}
+    assert (found[1].n, found[2].n) == (40_000, 20_000)
+    assert time.monotonic() - began < 60
