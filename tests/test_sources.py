@@ -107,7 +107,7 @@ def _files(root):
 
 def test_saves_and_evictions_touch_their_buckets_only(spark, tmp_path):
     text = "def f{0}():\n    return {0}\n"
-    files = [(f"src/m{k:02d}.py", text.format(f"{k:02d}")) for k in range(40)]
+    files = [(f"src/m{k:02d}.py", text.format(k + 10)) for k in range(40)]
     size = len(files[0][1])
     c = ExtractionCache(spark, f"file://{tmp_path}", "k", budget=44 * size)
     df = spark.createDataFrame(files, "path string, content string")
@@ -122,7 +122,7 @@ def test_saves_and_evictions_touch_their_buckets_only(spark, tmp_path):
     assert {b for b in second if second[b] != first.get(b)} == touched
     assert c.rows_of(df)[1].count() == 0  # both contents of a path are known
     # six more: four of the oldest go, by the clock; of the buckets only those that are half out of date are rewritten
-    more = spark.createDataFrame([(f"lib/n{k}.py", text.format(f"{k:02d}")) for k in range(6)], "path string, content string")
+    more = spark.createDataFrame([(f"lib/n{k}.py", text.format(k + 60)) for k in range(6)], "path string, content string")
     c.save(more, extract.parse(more))
     gone = sorted(x.path for x in c.rows_of(df)[1].collect())
     assert gone == [f"src/m{k:02d}.py" for k in range(len(gone))] and len(gone) >= 4
@@ -133,7 +133,7 @@ def test_saves_and_evictions_touch_their_buckets_only(spark, tmp_path):
     untouched = set(first) - added - {bucket[p] for p in gone} - touched
     assert untouched and all(third[b] == first[b] for b in untouched)
     names_ = sorted(x.a for x in c.rows_of(df)[0].where("relation = 'defines'").collect())
-    assert names_ == [f"f{k:02d}" for k in range(len(gone), 40)]
+    assert names_ == [f"f{k + 10}" for k in range(len(gone), 40)]
 
 
 def test_trees_read_only_leaves_that_differ(spark, tmp_path):
