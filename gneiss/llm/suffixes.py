@@ -39,7 +39,7 @@ _GRAM = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 #: Bytes of texts that a task works on together; a longer text is a load of its own.
-LOAD = 2 << 20
+LOAD = 512 << 10
 #: Strings of a run that are looked at together where runs differ.
 GROUP = 8
 
@@ -271,7 +271,8 @@ def _kept_rows(least: int, text_too: bool):
                 gone.append(len(data) - len(kept))
                 spans.append(len(begins))
                 digest.append(hashlib.sha256(kept).hexdigest())
-                kept_text.append(kept)
+                if text_too:
+                    kept_text.append(kept)
             out = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
             names = ["k0", "k1", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if text_too:
