@@ -88,14 +88,20 @@ def assign(key: Column, tree: Tree, shards: int | None = None) -> Column:
     return once(F.array_min(best), lambda b: reduce(lambda e, r: F.when((b["region"] == r) & (b["shard"] < 0), won(r)).otherwise(e), full, b["shard"]))
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", parts: int = 1024, carry: list[str] = ()) -> DataFrame:
+def _blocks(block: int) -> Column:
+    """Numbers of blocks of n copies, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}")))
+
+
+def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", parts: int = 1024, carry: list[str] = (), block: int = 1 << 14) -> DataFrame:
     """One row per row of docs: id_col, size, text_crc32, law, shard, slot, grown_shard, and the columns of `carry`.
 
     size: UTF-8 bytes of the text (null: none) plus 8; text_crc32 of a null text is that of an empty one. shard and
     grown_shard (with one more shard) depend on the id and the number of shards only. slot numbers a shard's rows
     from 0 without gaps, in an order by hashes that keeps copies of a row apart: copies are counted, and each copy
     falls into one of `parts` parts of its shard by a hash of the row and its number; parts are numbered on their own,
-    and each part begins after the rows of those before it. No task ever holds a shard, or all copies of a row.
+    and each part begins after the rows of those before it. Copies are numbered, and carried columns come back, in
+    blocks of `block` copies, each in a task of its own: no task ever holds a shard, or all copies of a row.
     Null ids share one key; repeated ids share a shard. Columns that aren't carried are not read; carried ones of the
     names of the result's own give way to these. An empty table gives no rows.
     """
@@ -111,22 +117,24 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     )
     # light rows: all copies of a row in one
     light = rows.select("row.id", "size", "text_crc32", "mark").groupBy("id", "size", "text_crc32", "mark").agg(F.count("*").alias("n"))
-    each = light.select(
-        "id", "size", "text_crc32", "mark", assign(F.col("id"), default_tree(shards), shards).alias("shard"), assign(F.col("id"), default_tree(shards + 1), shards + 1).alias("grown_shard"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"),
-    )
+    light = light.select(
+        "id", "size", "text_crc32", "mark", "n", assign(F.col("id"), default_tree(shards), shards).alias("shard"), assign(F.col("id"), default_tree(shards + 1), shards + 1).alias("grown_shard"),
+        _blocks(block).alias("block"),
+    ).repartition("mark", "block")
+    copies = F.sequence(F.col("block") * block + 1, F.least("n", (F.col("block") + 1) * block))
+    each = light.withColumn("copy", F.explode(copies)).drop("n")
     each = cut(each.withColumn("place", F.xxhash64(F.lit("place"), "mark", "copy")).withColumn("part", F.pmod("place", F.lit(parts)).cast("int")))
     # at most shards * parts rows, whatever the input
     counts = each.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.selectExpr("shard", "part", "sum(n) over (partition by shard order by part rows between unbounded preceding and 1 preceding) as base")
     numbered = each.selectExpr("*", "row_number() over (partition by shard, part order by place, mark, copy) - 1 as at")
     out = numbered.join(F.broadcast(before), ["shard", "part"])
-    out = out.select("id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("at") + F.coalesce("base", F.lit(0))).cast("long").alias("slot"), "grown_shard", "mark")
+    out = out.select("id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("at") + F.coalesce("base", F.lit(0))).cast("long").alias("slot"), "grown_shard", "mark", "block")
     named = [F.col("id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     if not held:
         return out.select(*named)
-    # the carried columns come back by row, once for all its copies
-    slots = out.groupBy("id", "size", "text_crc32", "mark", "law", "shard", "grown_shard").agg(F.collect_list("slot").alias("slots"))
-    whole = rows.groupBy(F.col("row.id").alias("of"), F.col("mark").alias("of_mark")).agg(F.first("row").alias("row"))
-    back = slots.join(whole, F.col("mark").eqNullSafe(F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")))
-    return back.withColumn("slot", F.explode("slots")).select(*named, *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(held)])
+    # the carried columns come back by row, once for each block of its copies
+    whole = rows.groupBy(F.col("row.id").alias("of"), F.col("mark").alias("of_mark")).agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    whole = whole.select("of", "of_mark", "row", _blocks(block).alias("of_block"))
+    back = out.join(whole, (F.col("mark") == F.col("of_mark")) & (F.col("block") == F.col("of_block")) & F.col("id").eqNullSafe(F.col("of")))
+    return back.select(*named, *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(held)])

@@ -40,6 +40,25 @@ def test_carried_columns_and_copies_apart(spark):
     assert shard_rows(docs.where("false"), carry=docs.columns).count() == 0
 
 
+def test_copies_in_blocks(spark):
+    """Blocks change nothing but the tasks: the same slots, and carried columns for each copy."""
+    rows = [(1, "hot")] * 2000 + [(None, "hot")] * 300 + [(k, "x") for k in range(50)]
+    docs = make(spark, rows)
+    key = lambda x: tuple((v is not None, v) for v in x)
+    whole = sorted(shard_rows(docs, 3, carry=["text"]).collect(), key=key)
+    for block in (1, 7, 100, 2000):
+        assert sorted(shard_rows(docs, 3, carry=["text"], block=block).collect(), key=key) == whole
+    assert collections.Counter((x.doc_id, x.text) for x in whole) == collections.Counter(rows)
+
+
+def test_many_copies_of_one_row(spark):
+    """A million equal rows: every shard's slots are gapless, and no task numbers over a block of them."""
+    docs = spark.range(1_000_000).selectExpr("1L as doc_id", "'hot' as text").unionAll(make(spark, [(2, "x")] * 5).select("doc_id", "text"))
+    got = shard_rows(docs).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("slots")).collect()
+    assert sum(x.n for x in got) == 1_000_005
+    assert all((x.low, x.high, x.slots) == (0, x.n - 1, x.n) for x in got)
+
+
 def python_shard(key, n):
     """The smallest score, with all of them worked out."""
 
