@@ -107,21 +107,19 @@ def fit(
     hold it at least half as often as in the language where it is most frequent. What reaches the driver is bounded
     by languages * (n-grams in a text) / least. Rows with a null text or language teach nothing; keys may be null or
     repeated; of rows alike in key and text all are drawn or none, and the smallest hash of a language always is. Extra
-    columns are not read. An empty table gives filters of no language. More than `most_languages` values of the
-    language raise ValueError before anything is gathered: filters take slots / 8 bytes for each.
+    columns are not read. An empty table gives filters of no language. Of more than `most_languages` values of the
+    language those with most rows are learned, ties by name: filters take slots / 8 bytes for each.
     """
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), hashed.alias("h"))
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).limit(most_languages + 1).collect()
-    if len(counted) > most_languages:
-        raise ValueError(f"over {most_languages} languages")
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     counts = {x.lang: x.n for x in counted}
     languages = sorted(counts)
     if not languages:
         return Filters.build([], [], slots, hashes)
     limits = {x.lang: max(x.first, min(1.0, sample / x.n)) for x in counted}
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, limits[k])))
-    drawn = rows.where(F.col("h") <= F.element_at(share, F.col("lang")))
+    drawn = rows.where(F.col("h") <= F.try_element_at(share, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,8 +42,13 @@ def test_fit_draws_rows_not_ids(spark):
         assert filters.languages == ["de", "en", "hi"]
         got = language.identify(df.where("lang is not null"), filters, ["lang", "text"]).collect()
         assert all(x.lang_pred == x.row.lang and x.score > 0.5 for x in got if x.row.text)
-    with pytest.raises(ValueError):
-        language.fit(df.withColumn("lang", F.expr("uuid()")), most_languages=50)
+    # beyond most_languages: those with most rows, and of these all rows are labelled as before
+    junk = df.unionByName(spark.range(200).selectExpr("id as doc_id", "concat('das Haus ', id) as text", "concat('zz', id) as lang", "1 as gram"))
+    for most, want in ((2, ["de", "en"]), (3, ["de", "en", "hi"])):
+        few = language.fit(junk, sample=10, most_languages=most)
+        assert few.languages == want
+        got = language.identify(df.where("lang in ('en', 'de')"), few, ["lang", "text"]).collect()
+        assert all(x.lang_pred == x.row.lang and x.score > 0.5 for x in got if x.row.text not in (None, "", "no language"))
 
 
 def shares(text, filters):
