@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.operators.fixpoint import frontiers
+from gneiss.operators.fixpoint import frontiers, written
 
 
 def contradictions(allow: DataFrame, deny: DataFrame) -> DataFrame:
@@ -66,6 +66,72 @@ def dead_ends(states: DataFrame, transitions: DataFrame) -> DataFrame:
     return states.select("state").distinct().join(transitions.select(F.col("source").alias("state")), "state", "left_anti")
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    there = pairs.select("package", "version", "other", "other_version")
+    return there.unionAll(pairs.select("other", "other_version", "package", "version")).distinct()
+
+
+def supported(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(package, version) of the candidates that stay once each version without support is gone.
+
+    pairs: (package, version, other, other_version), the versions that go together, in either order. Packages are tied
+    if any pair names both; those without ties keep all versions. A version is supported if, for each package tied to
+    its own, it goes with a version that is left. Where ties form a tree or several, each version that stays is part of a
+    whole choice; with cycles of ties it needn't be. Rows with nulls are left out; repeated rows count once.
+    The supporters of a version are counted once for each tie. A round sends on only what the versions that left in the
+    round before took away, so the work follows the pairs of the versions that leave.
+    """
+    version, tie = ["package", "version"], ["package", "version", "other"]
+    candidates = candidates.select(*version).dropna().distinct()
+    both = written(_both_ways(pairs.select(*tie, "other_version").dropna()))
+    ties = both.select("package", "other").distinct()
+    of = candidates.select(F.col("package").alias("other"), F.col("version").alias("other_version"))
+    known = written(both.join(of, ["other", "other_version"], "left_semi").join(candidates, version, "left_semi"))
+    counts = known.groupBy(*tie).agg(F.count("*").alias("n"))
+    wanted = written(candidates.join(ties, "package").join(counts, tie, "left").select(*tie, F.coalesce("n", F.lit(0)).alias("n")))
+    gone = written(wanted.where("n = 0").select(*version).distinct())
+    left, taken, parts = gone, None, 1
+    while gone.limit(1).count():
+        lost = gone.toDF("other", "other_version").join(known, ["other", "other_version"]).groupBy(*tie).agg(F.count("*").alias("k"))
+        lost = written(lost)
+        taken = lost if taken is None else taken.unionAll(lost)
+        now = taken.join(lost.select(*tie), tie, "left_semi").groupBy(*tie).agg(F.sum("k").alias("k"))
+        gone = written(now.join(wanted, tie).where("n <= k").select(*version).distinct().join(left, version, "left_anti"))
+        left, parts = left.unionAll(gone), parts + 1
+        if parts == 16:  # one table again, so that plans don't grow with the rounds
+            left, taken, parts = written(left), written(taken.groupBy(*tie).agg(F.sum("k").alias("k"))), 1
+    return candidates.join(left, version, "left_anti")
+
+
+def choices(candidates: DataFrame, pairs: DataFrame, packages: list[str]) -> DataFrame:
+    """All choices of a version for each of `packages`, a column each, that go together; other ties only reduce the versions.
+
+    Versions without support leave first, so where ties form a tree no join makes a row that a later one drops. The
+    packages have to be tied together, directly or by others of the list.
+    """
+    pairs = written(pairs.select("package", "version", "other", "other_version").dropna().distinct())
+    stay = written(supported(candidates, pairs))
+    end = lambda c: stay.select(F.col("package").alias(c), F.col("version").alias(f"{c}_version"))
+    both = _both_ways(pairs).where(F.col("package").isin(packages) & F.col("other").isin(packages))
+    ties = {(x.package, x.other) for x in both.select("package", "other").distinct().collect()}  # at most the square of the list
+    both = both.withColumnRenamed("version", "package_version").join(end("package"), ["package", "package_version"], "left_semi").join(end("other"), ["other", "other_version"], "left_semi")
+    both = written(both)
+    rows = stay.where(F.col("package") == packages[0]).select(F.col("version").alias(packages[0]))
+    placed, rest = [packages[0]], list(packages[1:])
+    while rest:
+        q = next((q for q in rest if any((p, q) in ties for p in placed)), None)
+        if q is None:
+            raise ValueError(f"{', '.join(rest)}: not tied to {', '.join(placed)}")
+        first, *others = [p for p in placed if (p, q) in ties]
+        of = lambda p: both.where((F.col("package") == p) & (F.col("other") == q)).select(F.col("package_version").alias(p), F.col("other_version").alias(q))  # noqa: B023, E731
+        rows = rows.join(of(first), first)
+        for p in others:
+            rows = rows.join(of(p), [p, q], "left_semi")
+        placed.append(q)
+        rest.remove(q)
+    return rows.select(*packages)
+
+
 @dataclass
 class Problem:
     """variables: name to its values; constraints: name to (SQL condition, variables in it); whole: whether domains leave nothing out."""

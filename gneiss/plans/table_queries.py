@@ -286,6 +286,27 @@ def c4_versions(spark, sf_dir):
     return finite.assignments(spark, problem)
 
 
+def _packages(spark, sf_dir):
+    """Twelve packages whose versions are the parts; each but the first depends on one of the others, as in a binary tree.
+
+    Versions go together if large quantities of both parts are in one order.
+    """
+    side = lambda p: [F.concat(F.lit("p"), F.col(p) % 12).alias("package"), F.floor(F.col(p) / 12).alias("version")]
+    candidates = table(spark, sf_dir, "part").select(*side("p_partkey"))
+    items = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_partkey")
+    two = items.join(items.toDF("l_orderkey", "other_part"), "l_orderkey").where("l_partkey % 12 > 0 and other_part % 12 = floor((l_partkey % 12 - 1) / 2)")
+    pairs = two.select(*side("l_partkey"), *(x.alias(n) for x, n in zip(side("other_part"), ("other", "other_version"))))
+    return candidates, pairs
+
+
+def c4_supported_versions(spark, sf_dir):
+    return finite.supported(*_packages(spark, sf_dir))
+
+
+def c4_choices(spark, sf_dir):
+    return finite.choices(*_packages(spark, sf_dir), ["p0", "p1", "p2"])
+
+
 def c5_schema_gaps(spark, sf_dir):
     c = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("n"), F.col("c_nationkey")).alias("field")).agg(F.min("c_custkey").alias("min"), F.max("c_custkey").alias("max"))
     s = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("n"), F.col("s_nationkey")).alias("field")).agg(F.min("s_suppkey").alias("min"), (F.max("s_suppkey") * 15).alias("max"))
@@ -434,6 +455,23 @@ _TAINT_SQL = f"""WITH RECURSIVE {SUPPLY}, clean AS (SELECT 'p' || p_partkey AS n
 ORACLE_SQL["b6_nearest_to_each"] = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
   s AS (SELECT a.vec_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY score DESC))::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
+#: the tree of packages, from its leaves to the root and back, level by level
+_LEVEL = "CASE WHEN {0} = 0 THEN 0 WHEN {0} < 3 THEN 1 WHEN {0} < 7 THEN 2 ELSE 3 END"
+_PACKAGES_SQL = f"""WITH c AS (SELECT DISTINCT p_partkey % 12 AS k, p_partkey // 12 AS v FROM part),
+  i AS (SELECT l_orderkey AS o, l_partkey % 12 AS k, l_partkey // 12 AS v FROM lineitem WHERE l_quantity > 25),
+  pairs AS (SELECT DISTINCT a.k, a.v, b.k AS k2, b.v AS v2 FROM i a JOIN i b USING (o) WHERE a.k > 0 AND b.k = (a.k - 1) // 2),
+  ties AS (SELECT DISTINCT k, k2 FROM pairs),
+  up3 AS (SELECT * FROM c WHERE {_LEVEL.format("k")} = 3),
+  """ + ",\n  ".join(
+    f"""met{n} AS (SELECT x.k2 AS k, x.v2 AS v, count(DISTINCT x.k) AS n FROM pairs x JOIN up{n + 1} y ON y.k = x.k AND y.v = x.v GROUP BY ALL),
+  up{n} AS (SELECT c.k, c.v FROM c LEFT JOIN met{n} USING (k, v) WHERE {_LEVEL.format("c.k")} = {n} AND coalesce(n, 0) = (SELECT count(*) FROM ties WHERE ties.k2 = c.k))"""
+    for n in (2, 1, 0)
+) + ",\n  down0 AS (SELECT k, v FROM up0),\n  " + ",\n  ".join(
+    f"down{n} AS (SELECT u.k, u.v FROM up{n} u WHERE u.k NOT IN (SELECT k FROM ties) OR EXISTS (FROM pairs x JOIN down{n - 1} y ON y.k = x.k2 AND y.v = x.v2 WHERE x.k = u.k AND x.v = u.v))" for n in (1, 2, 3)
+)
+ORACLE_SQL["c4_supported_versions"] = _PACKAGES_SQL + " SELECT 'p' || k AS package, v AS version FROM (" + " UNION ALL ".join(f"SELECT k, v FROM down{n}" for n in range(4)) + ")"
+ORACLE_SQL["c4_choices"] = _PACKAGES_SQL + """ SELECT r.v AS p0, a.v AS p1, b.v AS p2 FROM down0 r JOIN pairs a ON a.k = 1 AND a.v2 = r.v JOIN pairs b ON b.k = 2 AND b.v2 = r.v
+  WHERE a.v IN (SELECT v FROM down1 WHERE k = 1) AND b.v IN (SELECT v FROM down1 WHERE k = 2)"""
 ORACLE_SQL["b2_stored_idf"] = ORACLE_SQL["b1_bm25_idf"]
 ORACLE_SQL["b3_stored_search"] = ORACLE_SQL["b3_bm25_search"]
 ORACLE_SQL["l11_taint"] = _TAINT_SQL
