@@ -54,6 +54,14 @@ def fingerprint_words(words: list[bytes], width: int = 3, seed: int = 42) -> int
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_hashes(hashes: np.ndarray) -> int:
+    """The majority of the bits of a set's hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, hashes.size, 200_000):
+        ones += np.unpackbits(hashes[i : i + 200_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > hashes.size, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(id, tid, fp): the text's XXH64, and the fingerprint as a signed long. Null and empty texts have 0."""
 

@@ -1,7 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, the sets themselves decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash, then MinHash bands propose, the sets themselves decide.
 
-A pair whose similarity is s shares a band of ROWS minima with probability s ** ROWS, and at least one of BANDS bands
-but for (1 - s ** ROWS) ** BANDS: 3 in a million at 0.8, less above. What a band proposes is compared exactly.
+First, SimHash fingerprints of the sets are linked within RADIUS bits by covering masks (simhash.py), which miss no such
+pair; links whose sets are similar join groups. A pair whose similarity is 0.8 differs in about ten bits, though, and
+covering masks for that radius are thousands of tables. So what SimHash hasn't joined is proposed by bands: a pair whose similarity is s shares a band of ROWS minima with probability s ** ROWS, and at least one of BANDS bands
+but for (1 - s ** ROWS) ** BANDS: 3 in a million at 0.8, less above. What is proposed is compared exactly.
 
 In a large bucket all first compare with a hub, which settles groups of near copies. Of what is left, those
 outside the bucket's main group are compared with all members, in blocks: a task multiplies two blocks' incidence
@@ -21,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import components, cut
-from gneiss.llm.simhash import first_rows
+from gneiss.llm.simhash import fingerprint_hashes, fingerprint_links, first_rows
 
+#: Bits in which SimHash fingerprints differ at most where they propose.
+RADIUS = 3
 BANDS, ROWS = 32, 5
 _RANDOM = np.random.default_rng(42)
 _FACTORS, _TERMS = (_RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
@@ -56,19 +60,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _classes(rows: DataFrame, width: int) -> DataFrame:
-    """(id, tid, node, keys) of rows (id, tid, text): the set's hash, and its band keys; null for a set without shingles."""
+    """(id, tid, node, fp, keys) of rows (id, tid, text): the set's hash, its SimHash fingerprint, and its band keys; null for a set without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = np.zeros(batch.num_rows, np.uint64), []
+            nodes, prints, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), []
             for k, t in enumerate(batch.column(2).cast(pa.binary())):
                 s = shingle_set(t.as_py() or b"", width)
                 nodes[k] = xxhash.xxh64_intdigest(s.tobytes())
+                prints[k] = fingerprint_hashes(s)
                 keys.append(band_keys(s) if s.size else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "tid", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "tid", "node", "fp", "keys"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, tid long, node long, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, tid long, node long, fp long, keys array<long>")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -159,13 +164,25 @@ def _block_links(live: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return units.groupBy("key", "i", "j").applyInPandas(_joining(least), "a long, b long")
 
 
-def similar_links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """Links (a, b) with the same connected components as all similar pairs within a bucket (rows of key, node).
+def simhash_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, hot): pairs of nodes, of rows (node, fp), that connect what all pairs of at most `radius` different bits connect. A hot b is in many."""
+    heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head")))
+    near = fingerprint_links(heads.select("fp"), radius).distinct()
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("b_node")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("a_node")), "b")
+    same = prints.join(heads, "fp").where("node <> head")
+    pairs = cut(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionAll(same.select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    return pairs.join(pairs.groupBy("b").agg((F.count("*") > SALTS).alias("hot")), "b").select("a", "b", "hot")
 
-    In HUBS rounds (one), buckets of over SMALL nodes compare only a hub with the others; a hub leaves the bucket after that.
+
+def similar_links(buckets: DataFrame, sets: DataFrame, least: float, known: DataFrame | None = None) -> DataFrame | None:
+    """Links (a, b) with the same connected components as known links and all similar pairs within a bucket (rows of key, node).
+
+    What known links connect isn't compared. In HUBS rounds (one), buckets of over SMALL nodes compare only a hub with the others; a hub leaves the bucket after that.
     The last round compares, in blocks, what is not connected yet.
     """
-    rows, links = buckets.withColumn("comp", F.col("node")), None
+    rows, links = buckets.withColumn("comp", F.col("node")), known
+    if known is not None:
+        rows = buckets.join(components(known), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     for k in range(HUBS + 1):
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("comp", "node").alias("hub_comp"), F.mode("comp").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         live = cut(rows.join(sizes.where("c0 <> c1").drop("c0", "c1"), "key"))
@@ -199,20 +216,18 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
     prints = cut(_classes(rows, width))
     row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tid")
-    classes = cut(prints.groupBy("node").agg(F.min(row).alias("first"), F.min("keys").alias("keys")))
+    classes = cut(prints.groupBy("node").agg(F.min(row).alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    proposed = cut(simhash_pairs(classes.where("keys is not null").select("node", "fp")))
     spread = classes.select("node", F.explode("keys").alias("key"))
     # bands that hold the same nodes are one bucket: its nodes' number and two sums of their hashes tell
     of_key = spread.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     kept = of_key.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     buckets = cut(spread.join(kept, "key"))
-    wanted = buckets.select("node").distinct().join(classes, "node").select("node", F.col("first.id").alias("of"), F.col("first.tid").alias("of_tid"))
+    wanted = buckets.select("node").unionAll(proposed.select("a")).unionAll(proposed.select("b")).distinct().join(classes, "node").select("node", F.col("first.id").alias("of"), F.col("first.tid").alias("of_tid"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid"))).select("node", "text")
     sets = cut(_sets(texts, width).dropDuplicates(["node"]))
-    links = similar_links(buckets, sets, least)
-    if links is None:
-        named = classes.select("node", "first", F.col("node").alias("component"))
-    else:
-        named = cut(classes.join(components(links), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
+    links = similar_links(buckets, sets, least, cut(_verified(proposed, sets, least)))
+    named = cut(classes.join(components(links), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
     smallest = named.groupBy("component").agg(F.min("first").alias("first"))
     of = named.select("node", "component").join(smallest, "component").select("node", "first")
     found = prints.join(of, "node").select("id", "tid", F.col("first.id").alias("first_id"), F.col("first.tid").alias("first_tid"))

@@ -95,3 +95,31 @@ def test_blocks_lose_no_link(spark, monkeypatch):
         groups[x.component].add(order[x.node] // 10)
     assert sorted(map(sorted, groups.values())) == [[k] for k in range(8)]
     assert similar.components(links).count() == 80
+
+
+def test_simhash_proposes(spark, monkeypatch):
+    """Without any band in common, texts whose fingerprints differ in at most three bits are linked if their sets are similar."""
+    import numpy as np
+
+    import corpus_pipeline
+    from gneiss.llm import similar
+
+    r = random.Random(4)
+    rows = [" ".join(f"w{r.randrange(5000)}" for _ in range(400)) for _ in range(6)]
+    rows += [f"{t} w{k}" for k, t in enumerate(rows)]  # one shingle more
+    sets = [similar.shingle_set(t.encode()) for t in rows]
+    bits = [(similar.fingerprint_hashes(sets[k]) ^ similar.fingerprint_hashes(sets[k + 6])).bit_count() for k in range(6)]
+    assert max(bits) <= similar.RADIUS
+    pairs = similar.simhash_pairs(spark.createDataFrame([(k, similar.fingerprint_hashes(s) - (1 << 63)) for k, s in enumerate(sets)], "node long, fp long"))
+    assert {frozenset((x.a, x.b)) for x in pairs.collect()} == {frozenset((k, k + 6)) for k in range(6)}
+    monkeypatch.setattr(similar, "band_keys", lambda hashes: hashes.sum(dtype=np.uint64, keepdims=True).view(np.int64))
+    got = corpus_pipeline.simhash_dedup(spark, make(spark, list(enumerate(rows))), "")
+    assert sorted(x.doc_id for x in got.collect()) == list(range(6))
+
+
+def test_fingerprints_do_not_decide(spark):
+    from gneiss.llm import similar
+
+    sets = spark.createDataFrame([(k, bytearray(b"".join(x.to_bytes(8, "little") for x in s))) for k, s in enumerate([range(10), range(9), range(20, 30)])], "node long, hashes binary")
+    pairs = similar.simhash_pairs(spark.createDataFrame([(0, 5), (1, 5), (2, 4)], "node long, fp long"))
+    assert {(x.a, x.b) for x in similar._verified(pairs, sets, 0.8).collect()} == {(1, 0)}
