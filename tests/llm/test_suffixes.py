@@ -6,8 +6,11 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from gneiss.llm.common import stored, stored_by
 from gneiss.llm.ranks import numbered, sorted_groups
-from gneiss.llm.suffixes import remove_repeated_bytes
+from gneiss.llm.suffixes import ranked_blocks, remove_repeated_bytes
 
 
 def plain(texts, least):
@@ -73,3 +76,37 @@ def test_groups_across_partitions(spark):
     assert len(set(starts.values())) == len(starts) and list(starts.values()) == sorted(starts.values())
     assert sorted_groups(df.where("x < 0"), ["x", "y"], ["z"]).collect() == []
     assert sorted(x.number for x in numbered(df).collect()) == list(range(len(rows)))
+
+
+def test_rounds_of_doubling(spark):
+    """Names of 1, 4, 16 ... phrases, in half as many rounds as by twos; a text goes over several batches."""
+    r = random.Random(5)
+    texts = [[r.randrange(3) for _ in range(r.randrange(1, 60))] for _ in range(30)] + [[7] * 70, [7] * 66]
+    rows = [(x, t, at, 2 + x) for t, text in enumerate(texts) for at, x in enumerate(text)]
+    most = 500
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        rounds = [x.collect() for x in ranked_blocks(stored(spark.createDataFrame(rows, "x long, t long, at int, size int")), most)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(rounds) == 4 and not rounds[3]  # 7 repeats 64 times, in 576 bytes
+    for level, got in enumerate(rounds):
+        width = 4**level
+        blocks = {(t, at): tuple(text[at : at + width]) for t, text in enumerate(texts) for at in range(len(text) - width + 1)}
+        blocks = {k: v for k, v in blocks.items() if sum(v) + 2 * width <= most}
+        count = Counter(blocks.values())
+        assert {(x.t, x.at): x["size"] for x in got} == {k: sum(v) + 2 * width for k, v in blocks.items() if count[v] > 1}
+        names = {}
+        assert all(names.setdefault(blocks[x.t, x.at], x.name) == x.name for x in got)
+        assert len(set(names.values())) == len(names)
+
+
+def test_texts_in_buckets(spark):
+    """Texts that were written by t aren't shuffled for a join by t."""
+    texts = stored_by(spark.range(500).selectExpr("id as t", "cast(id as string) as text"), "t")
+    found = spark.range(0, 1000, 2).groupBy(F.col("id").alias("t")).agg(F.count("*").alias("n"))
+    joined = texts.join(found.hint("shuffle_hash"), "t", "left")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((x.t, x.text, x.n) for x in joined.collect()) == [(k, str(k), None if k % 2 else 1) for k in range(500)]
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("gneiss_")]
