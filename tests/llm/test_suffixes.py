@@ -4,13 +4,15 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from gneiss.llm import ranks
 from gneiss.llm.common import stored, stored_by
-from gneiss.llm.ranks import numbered, sorted_groups
-from gneiss.llm.suffixes import ranked_blocks, remove_repeated_bytes
+from gneiss.llm.ranks import numbered, sorted_groups, sorted_kinds
+from gneiss.llm.suffixes import Anchors, ranked_blocks, remove_repeated_bytes
 
 
 def plain(texts, least):
@@ -110,3 +112,74 @@ def test_texts_in_buckets(spark):
     assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((x.t, x.text, x.n) for x in joined.collect()) == [(k, str(k), None if k % 2 else 1) for k in range(500)]
     assert not [x for x in spark.catalog.listTables() if x.name.startswith("gneiss_")]
+
+
+def test_kinds_across_pieces(spark):
+    """Names and kinds that go over pieces and partitions; names of one kind, of settled kinds only, and of mixed kinds."""
+    r = random.Random(11)
+    rows = [(5, 1, 1, k, False) for k in range(900)]  # one hot kind
+    rows += [(6, k // 2, 0, 1000 + k, False) for k in range(600)]  # a hot name, all settled
+    rows += [(7, k, 3, 2000 + k, k != 250) for k in range(400)]  # a hot name with one kind that isn't settled
+    rows += [(8, k, 3, 3000 + k, True) for k in range(200)]
+    rows += [(20 + r.randrange(150), r.randrange(3), r.randrange(2), 4000 + k, r.random() < 0.3) for k in range(700)]
+    kinds = {}
+    for x in sorted(rows, key=lambda x: x[:4]):
+        kinds.setdefault(x[:3], []).append(x)
+    # whether a row of a kind is known is told by its first one where it is alone
+    settled = {k: len(v) > 1 or v[0][4] for k, v in kinds.items()}
+    mixed = {name for name, _, _ in kinds if len(of := [k for k in kinds if k[0] == name]) > 1 and not all(settled[k] for k in of)}
+    want = set()
+    for k, v in kinds.items():
+        for n, x in enumerate(v):
+            found, asked = len(v) > 1 and not x[4], n == 0 and k[0] in mixed
+            if found or asked:
+                want.add((x[3], found, len(v) > 1 or x[4], asked))
+    df = spark.createDataFrame(rows, "name long, x long, y long, z long, known boolean").repartition(5)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most, piece in ((16, 1), (7, 40), (10000, 1 << 17)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            got = sorted_kinds(df, "name", ["x", "y"], ["z"], "known", piece).collect()
+            assert len(got) == len(want) and {(x.z, x.found, x.settled, x.asked) for x in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert sorted_kinds(df.where("name < 0"), "name", ["x", "y"], ["z"], "known").collect() == []
+
+
+def test_one_sort_for_each_kind_of_rows(spark, monkeypatch):
+    """Runs, groups and strings are sorted once each, and what is written of them is without their digests and without rows that occur once."""
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = word(300)
+    texts = [word(250) + shared[r.randrange(40) :] + word(250) for _ in range(20)] + [word(900) for _ in range(20)]
+    written = []
+    monkeypatch.setattr(ranks, "stored", lambda df: written.append(stored(df)) or written[-1])
+    got = remove_repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), with_text=False).collect()
+    assert sum(x.n_removed for x in got) == sum(w[1] for w in plain(texts, 200))
+    last = [x for x in written if "x" not in x.columns]
+    assert [{"i", "t", "settled" if k else "several"} <= {*x.columns} for k, x in enumerate(last)] == [True] * 3
+    assert not any({"e0", "f0", "w0", "name", "c"} & {*x.columns} for x in last)
+
+
+def test_runs_of_anchors():
+    """Runs are where the anchors of the first and last stretch change, byte by byte."""
+    r = random.Random(4)
+    for least, reach in ((40, 16), (40, 3), (200, 96)):
+        texts = [bytes(r.choice(b"abc") for _ in range(r.randrange(least, 700))) for _ in range(12)] + [b"a" * least, b"ab" * least]
+        a = Anchors(texts, least, reach)
+        span = reach + 7
+        want = []
+        base = 0
+        for t, text in enumerate(texts):
+            hashes = (np.ndarray((len(text) - 7,), "<u8", text, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            of = [k + int(np.argmin(hashes[k : k + reach])) for k in range(len(text) - span + 1)]
+            at = sorted(set(of))
+            assert [x - base for x in a.at[a.begins[t] : a.begins[t + 1]].tolist()] == at
+            pairs = [(at.index(of[k]), at.index(of[k + least - span])) for k in range(len(text) - least + 1)]
+            for k, p in enumerate(pairs):
+                if k and p == pairs[k - 1]:
+                    want[-1][2] += 1
+                else:
+                    want.append([t, base + k, 1, *p])
+            base += len(text)
+        assert [list(x) for x in zip(*(c.tolist() for c in a.runs()))] == want
