@@ -147,8 +147,11 @@ class StoredBM25:
         """The blocks of some terms; only their buckets are opened, and in these only the terms' row groups."""
         return self._read("blocks", BLOCKS.format(id=self.id_type), self._buckets(terms)).where(F.col("term").isin(terms))
 
-    def search(self, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(doc, score), best first; a term counts as often as the query holds it."""
+    def search(self, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> DataFrame:
+        """(doc, score), best first; a term counts as often as the query holds it.
+
+        digits: scores are rounded to so many decimals before they are ranked, and equal ones go by the smaller doc.
+        """
         self.skipped = 0
         times = Counter(t for t in re.split("[^a-z0-9_]+", query.lower()) if len(t) >= 2 and t not in STOPWORDS)
         none = self.spark.createDataFrame([], f"doc {self.id_type}, score double")
@@ -166,7 +169,8 @@ class StoredBM25:
         def scores(some: DataFrame) -> DataFrame:
             each = some.select("weight", "segment", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("x")).select("weight", "segment", "x.*")
             each = self._standing(each.select(F.col("docs").alias("doc"), "segment", part(F.col("tfs"), F.col("lengths")).alias("part")))
-            return each.groupBy("doc").agg(F.sum("part").alias("score")).where("score > 0")
+            every = each.groupBy("doc").agg(F.sum("part").alias("score")).where("score > 0")
+            return every if digits is None else every.select("doc", F.round("score", digits).alias("score"))
 
         # of each term the best blocks that hold some times `limit` documents: their sums are a floor for the last of the best
         order = "over (partition by term order by bound desc, n desc rows between unbounded preceding and 1 preceding)"
@@ -177,7 +181,8 @@ class StoredBM25:
         if len(floor) == limit:
             others = sum(best.values())
             rest = F.create_map(*(F.lit(x) for t, v in best.items() for x in (t, others - v)))
-            can = F.col("bound") + F.element_at(rest, F.col("term")) >= floor[-1] * (1 - 1e-9)
+            room = 0.0 if digits is None else 0.5 / 10**digits  # what rounding may have added
+            can = F.col("bound") + F.element_at(rest, F.col("term")) >= (floor[-1] - room) * (1 - 1e-9)
             self.skipped = blocks.where(~can).count()
             blocks = blocks.where(can)
         return scores(blocks).orderBy(F.desc("score"), "doc").limit(limit)

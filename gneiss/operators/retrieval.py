@@ -53,8 +53,11 @@ class BM25Index:
     def _weighted(df: DataFrame, average: DataFrame) -> DataFrame:
         return df.crossJoin(F.broadcast(average)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # average is one row
 
-    def search(self, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(doc, score), best first; a term counts as often as the query holds it. Only the query's terms leave the scan."""
+    def search(self, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> DataFrame:
+        """(doc, score), best first; a term counts as often as the query holds it. Only the query's terms leave the scan.
+
+        digits: scores are rounded to so many decimals before they are ranked, and equal ones go by the smaller doc.
+        """
         spark = self.tokens.sparkSession
         words = [t for t in re.split("[^a-z0-9_]+", query.lower()) if len(t) >= 2 and t not in STOPWORDS]
         terms = spark.createDataFrame(list(Counter(words).items()), "term string, times int")
@@ -66,7 +69,10 @@ class BM25Index:
         df = self._weighted(found.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term"), average)
         scored = found.join(F.broadcast(df), "term")  # a row for each term of the query at most
         part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-        return scored.groupBy("doc").agg(F.sum(part).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(limit)
+        every = scored.groupBy("doc").agg(F.sum(part).alias("score")).where("score > 0")
+        if digits is not None:
+            every = every.select("doc", F.round("score", digits).alias("score"))
+        return every.orderBy(F.desc("score"), "doc").limit(limit)
 
 
 def upsert_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -171,8 +177,8 @@ def semantic_search(spark: SparkSession, corpus: DataFrame, query: str, top_k: i
     return hits.join(last, "id").orderBy(F.desc("score"), "id")
 
 
-def near_duplicate(index: BM25Index, texts: DataFrame, candidate: str, id_col: str, text_col: str, least: float = 0.7) -> DataFrame:
+def near_duplicate(index: BM25Index, texts: DataFrame, candidate: str, id_col: str, text_col: str, least: float = 0.7, digits: int | None = None) -> DataFrame:
     """(id, similarity): of the three best matches of a text, those whose word sets are alike by more than `least`."""
-    best = index.search(candidate, 3)
+    best = index.search(candidate, 3, digits=digits)
     rows = best.join(texts.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "doc")
     return rows.select(F.col("doc").alias("id"), word_jaccard(F.col("text"), F.lit(candidate)).alias("similarity")).where(F.col("similarity") > least)

@@ -135,7 +135,7 @@ def b1_bm25_idf(spark, sf_dir):
 
 
 def b3_bm25_search(spark, sf_dir):
-    return _index(spark, sf_dir).search(QUERY, 20).select("doc", F.round("score", 6).alias("score"))
+    return _index(spark, sf_dir).search(QUERY, 20, digits=6)
 
 
 def _stored_index(spark, sf_dir):
@@ -154,7 +154,7 @@ def b2_stored_idf(spark, sf_dir):
 
 
 def b3_stored_search(spark, sf_dir):
-    return _stored_index(spark, sf_dir).search(QUERY, 20).select("doc", F.round("score", 6).alias("score"))
+    return _stored_index(spark, sf_dir).search(QUERY, 20, digits=6)
 
 
 def b6_nearest_to_each(spark, sf_dir):
@@ -188,7 +188,7 @@ def b7_search_corpus(spark, sf_dir):
 def b10_near_duplicates(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     text = d.where("doc_id = 7").first().text
-    return retrieval.near_duplicate(_index(spark, sf_dir), d, text, "doc_id", "text").select("id", F.round("similarity", 9).alias("similarity"))
+    return retrieval.near_duplicate(_index(spark, sf_dir), d, text, "doc_id", "text", digits=6).select("id", F.round("similarity", 9).alias("similarity"))
 
 
 def _supply(spark, sf_dir):

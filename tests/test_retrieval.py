@@ -45,6 +45,23 @@ def test_stored_search_is_exact_and_leaves_blocks_out(spark, tmp_path, monkeypat
     assert index.totals[0] == 3004
 
 
+def test_equal_scores_go_by_the_smaller_doc(spark, tmp_path, monkeypatch):
+    """Two texts whose scores differ by less than half of the last digit, the better one with the larger id."""
+    monkeypatch.setattr(postings, "BLOCK", 1)
+    texts = [(k, "word " + "other " * (10 + k)) for k in range(200, 400)] + [(1, "word " * 3 + "more " * 6001), (2, "word " * 3 + "more " * 6000)]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    index = StoredBM25(spark, f"file://{tmp_path}/index")
+    index.add(docs, "doc", "text")
+    plain = BM25Index.build(docs, "doc", "text")
+    exact = {x.doc: x.score for x in plain.search("word", 202).collect()}
+    assert 0 < exact[2] - exact[1] < 5e-7 and round(exact[1], 6) == round(exact[2], 6)
+    want = sorted(((d, round(s, 6)) for d, s in exact.items()), key=lambda x: (-x[1], x[0]))
+    at = want.index((1, round(exact[1], 6))) + 1
+    for search in (index.search, plain.search):
+        assert [tuple(x) for x in search("word", at, digits=6).collect()] == want[:at]
+        assert search("word", at).collect()[-1].doc == 2
+
+
 def test_search_opens_the_buckets_of_its_terms(spark, tmp_path):
     index = StoredBM25(spark, f"file://{tmp_path}/index")
     index.add(corpus(spark, 50), "doc", "text")
