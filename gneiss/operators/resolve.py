@@ -60,10 +60,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     rows = imports.withColumn("folder", folder_of("file"))
     tries = import_candidates(imports, aliases)
     paths = files.select(F.col("path").alias("file_path")).distinct()
-    exact = tries.join(paths, F.col("path") == F.col("file_path")).withColumn("loose", F.lit(0))
-    loose = tries.join(paths, F.lower("path") == F.lower("file_path")).withColumn("loose", F.lit(1))
+    exact = tries.join(paths.hint("merge"), F.col("path") == F.col("file_path")).withColumn("loose", F.lit(0))
+    loose = tries.join(paths.hint("merge"), F.lower("path") == F.lower("file_path")).withColumn("loose", F.lit(1))
     best = exact.unionAll(loose).groupBy("folder", "source").agg(F.min_by("file_path", F.struct("loose", "rank", "file_path")).alias("found"))
-    return rows.join(best, ["folder", "source"], "left").select(*[c for c in imports.columns if c != "resolved"], F.col("found").alias("resolved"))
+    return rows.join(best.hint("merge"), ["folder", "source"], "left").select(*[c for c in imports.columns if c != "resolved"], F.col("found").alias("resolved"))
 
 
 def suffix_index(files: DataFrame) -> DataFrame:
@@ -84,7 +84,8 @@ def suffix_resolve(specifiers: DataFrame, index: DataFrame) -> DataFrame:
     rows = specifiers.select("source").distinct().select("source", F.explode(ends).alias("e")).where("e.end <> ''")
     tries = rows.select("source", "e.dropped", F.explode(candidates(F.col("e.end"))).alias("t"))
     tries = tries.select("source", "dropped", F.when(F.col("t.rank") == 0, 99).otherwise(F.col("t.rank")).alias("rank"), F.col("t.path").alias("suffix"))
-    return tries.join(index, "suffix").groupBy("source").agg(F.min_by("path", F.struct("dropped", "rank")).alias("path"))
+    # both sides have many rows a row read, which Spark's estimates for a broadcast don't know of
+    return tries.join(index.hint("merge"), "suffix").groupBy("source").agg(F.min_by("path", F.struct("dropped", "rank")).alias("path"))
 
 
 def ancestors(extends: DataFrame) -> DataFrame:

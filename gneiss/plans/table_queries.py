@@ -339,7 +339,7 @@ def _sources(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     files = p.select(F.format_string("src/%s/m%d%s", F.regexp_replace("p_brand", "#", ""), F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, "/index.ts").when(F.col("p_partkey") % 3 == 1, ".ts").otherwise(".jsx")).alias("path"), F.col("p_partkey").alias("seq"))
     nxt = p.select((F.col("p_partkey") - 1).alias("k"), F.regexp_replace("p_brand", "#", "").alias("brand"))
-    imports = p.join(nxt, F.col("p_partkey") == F.col("k")).select(F.format_string("src/%s/main%d.ts", F.regexp_replace("p_brand", "#", ""), F.col("p_partkey")).alias("file"), F.lit("x").alias("name"), F.format_string("%s/%s/m%d", F.when(F.col("p_partkey") % 4 == 0, "@app").otherwise(".."), F.col("brand"), F.col("p_partkey") + 1).alias("source"))
+    imports = p.join(nxt.hint("merge"), F.col("p_partkey") == F.col("k")).select(F.format_string("src/%s/main%d.ts", F.regexp_replace("p_brand", "#", ""), F.col("p_partkey")).alias("file"), F.lit("x").alias("name"), F.format_string("%s/%s/m%d", F.when(F.col("p_partkey") % 4 == 0, "@app").otherwise(".."), F.col("brand"), F.col("p_partkey") + 1).alias("source"))
     return files, imports
 
 
