@@ -77,7 +77,7 @@ def nearest_to_each(store: DataFrame, k: int, pivots: int = 64, id_col: str = "i
     near = written(members.groupBy("cell", "block").applyInPandas(at_home, "id long, other long, score double"))
     # the radius is that of the k-th found; with fewer, everything is within it
     radius = near.groupBy("id").agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))) + ROOM).alias("radius"))
-    asking = members.join(radius, "id", "left").select("id", "u", "block", F.coalesce("radius", F.lit(3.0)).alias("radius"))
+    asking = members.join(radius.hint("merge"), "id", "left").select("id", "u", "block", F.coalesce("radius", F.lit(3.0)).alias("radius"))
 
     def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -92,9 +92,10 @@ def nearest_to_each(store: DataFrame, k: int, pivots: int = 64, id_col: str = "i
     visits = asking.mapInPandas(sent, "id long, cell int, d double, radius double, own long")
     visits = visits.join(blocks, "cell").where("d - radius <= high and d + radius >= low and block <> own").select("id", "cell", "block")
     visits = written(visits)
-    parts = visits.groupBy("cell", "block").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts"))
+    # a row a block, as a table whose size Spark knows; vectors are never broadcast, however small their files are
+    parts = written(visits.groupBy("cell", "block").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")))
     here = members.join(parts, ["cell", "block"]).select("cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "u")
-    there = visits.join(parts, ["cell", "block"]).join(members.select("id", "u"), "id").select("cell", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "u")
+    there = visits.join(parts, ["cell", "block"]).join(members.select("id", "u").hint("merge"), "id").select("cell", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "u")
 
     def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
