@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.fixpoint import checkpointed, closure, frontiers
+from gneiss.operators.fixpoint import checkpointed, closure, frontiers, written
 
 
 def reaches(edges: DataFrame, start: str) -> DataFrame:
@@ -33,9 +33,17 @@ def simple_paths(edges: DataFrame, start: str, end: str, most: int | None = None
 
 def permissions(roles: DataFrame, inherits: DataFrame, granted: DataFrame) -> DataFrame:
     """(user, action, resource): roles (user, role), inherits (role, inherited), granted (role, action, resource)."""
+    granted = granted.select("role", "action", "resource").distinct()
     above = closure(inherits.select(F.col("role").alias("src"), F.col("inherited").alias("dst")))
-    more = roles.join(above, F.col("role") == F.col("src")).select("user", F.col("dst").alias("role"))
-    return roles.select("user", "role").unionAll(more).distinct().join(granted, "role").select("user", "action", "resource").distinct()
+    # what a role has itself or by inheritance, once for all of its users
+    inherited = above.select(F.col("src").alias("to"), F.col("dst").alias("role")).join(granted, "role").select(F.col("to").alias("role"), "action", "resource")
+    whole = written(granted.unionAll(inherited).distinct())
+    # a user of one role has nothing twice
+    users = roles.groupBy("user").agg(F.min("role").alias("role"), F.max("role").alias("other"))
+    one = users.where("role = other").join(whole, "role").select("user", "action", "resource")
+    several = users.where("role < other").select(F.col("user").alias("u"))
+    more = roles.join(several, F.col("user").eqNullSafe(F.col("u")), "left_semi").join(whole, "role").select("user", "action", "resource").distinct()
+    return one.unionAll(more)
 
 
 def missing_pairs(calls: DataFrame, required: DataFrame) -> DataFrame:
