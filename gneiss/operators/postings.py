@@ -4,7 +4,7 @@ An index is a folder of segments, one for each addition. A segment holds
 
 - blocks, by bucket of the term: a term's documents of like frequency and length together, at most about BLOCK a
   row, with the largest frequency and the smallest length in it. A block's best score follows from these two;
-- terms (term, df) in the same buckets, and documents with their lengths and terms, by bucket of the document;
+- terms (term, df) in the same buckets, and documents with their lengths, terms and frequencies, by bucket of the document;
 - one row of totals.
 
 A search opens the buckets of its terms. It scores the most promising blocks first, which gives a score that the
@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.scalars import STOPWORDS, tokenize
+from gneiss.operators.fixpoint import written
 
-#: Buckets of terms and of documents, and documents of a block.
+#: Buckets of terms and of documents, tasks that write a bucket, and documents of a block.
 BUCKETS = 16
+PIECES = 8
 BLOCK = 512
 BLOCKS = "term string, max_tf int, min_length int, n int, docs array<{id}>, tfs array<int>, lengths array<int>, bucket int"
 TERMS = "term string, df long, bucket int"
@@ -36,6 +38,23 @@ def bucket_of(column: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
+def piece_of(column: str) -> Column:
+    return F.pmod(F.shiftright(F.xxhash64(column), 32), F.lit(PIECES)).cast("int")
+
+
+def counted(tokens: Column) -> Column:
+    """struct(length, terms, tfs) of an array of tokens: its distinct ones in order, and how often each occurs."""
+    # the tokens in order, then the places at which another one begins; each is made once a row and bound to a name
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = F.transform(F.array(F.sort_array(tokens)), lambda s: F.struct(s.alias("s"), F.when(F.size(s) > 0, begins(s)).otherwise(F.array().cast("array<int>")).alias("at")))
+    both = lambda r: F.struct(
+        F.size(r["s"]).alias("length"),
+        F.transform(r["at"], lambda i: F.get(r["s"], i)).alias("terms"),
+        F.transform(r["at"], lambda i, k: F.coalesce(F.get(r["at"], k + 1), F.size(r["s"])) - i).alias("tfs"),
+    )
+    return F.get(F.transform(runs, both), F.lit(0))
+
+
 class StoredBM25:
     """An index in a folder that the cluster shares. Ids have one type; a document is added once, or again after its removal."""
 
@@ -68,24 +87,24 @@ class StoredBM25:
     def add(self, docs: DataFrame, id_col: str, text_col: str) -> None:
         """One more segment. A text without tokens counts with length 0; null texts are empty."""
         at = f"{self.at}/segments/{self._next()}"
-        tokens = docs.select(F.col(id_col).cast(self.id_type).alias("doc"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-        lengths = tokens.select("doc", F.size("tokens").alias("length"), F.array_distinct("tokens").alias("terms"), bucket_of("doc").alias("bucket"))
-        lengths.repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/docs")
-        rows = tokens.select("doc", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        rows.write.parquet(f"{at}/postings")
-        rows = self.spark.read.schema(f"doc {self.id_type}, length int, term string, tf int").parquet(f"{at}/postings")
+        # texts are dealt by buckets and pieces of them, and read once; a text's terms are counted within its row
+        texts = docs.select(F.col(id_col).cast(self.id_type).alias("doc"), F.col(text_col).alias("text"))
+        texts = texts.withColumn("bucket", bucket_of("doc")).repartition("bucket", piece_of("doc"))
+        each = texts.select("doc", "bucket", counted(tokenize(F.coalesce("text", F.lit("")))).alias("x"))
+        each.select("doc", F.col("x.length").alias("length"), F.col("x.terms").alias("terms"), F.col("x.tfs").alias("tfs"), "bucket").write.partitionBy("bucket").parquet(f"{at}/docs")
+        stored = self.spark.read.schema(f"doc {self.id_type}, length int, terms array<string>, tfs array<int>").parquet(f"{at}/docs")
+        rows = stored.select("doc", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc", "length", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
         # documents of like frequency and length, so that a block's bound is close to the scores in it
         level = [F.floor(F.log2(F.col("tf").cast("double"))).cast("int").alias("a"), F.floor(F.log2(F.col("length").cast("double")) * 2).cast("int").alias("b")]
-        levels = rows.select("term", *level).groupBy("term", "a", "b").agg(F.count("*").alias("n"))
+        levels = written(rows.select("term", *level).groupBy("term", "a", "b").agg(F.count("*").alias("n")))
         parts = F.ceil(F.col("n") / BLOCK).cast("int")
         cut = rows.select("*", *level).join(levels.select("term", "a", "b", parts.alias("parts")), ["term", "a", "b"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
         posting = F.collect_list(F.struct("doc", "tf", "length")).alias("x")
         blocks = cut.groupBy("term", "a", "b", "part").agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.count("*").cast("int").alias("n"), posting)
         blocks = blocks.select("term", "max_tf", "min_length", "n", F.col("x.doc").alias("docs"), F.col("x.tf").alias("tfs"), F.col("x.length").alias("lengths"), bucket_of("term").alias("bucket"))
-        blocks.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/blocks")
+        blocks.repartition("bucket", piece_of("term")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/blocks")
         terms = levels.groupBy("term").agg(F.sum("n").alias("df")).withColumn("bucket", bucket_of("term"))
         terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
-        stored = self.spark.read.schema("length int").parquet(f"{at}/docs")
         stored.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).write.parquet(f"{at}/totals")
         self._done(at)
 

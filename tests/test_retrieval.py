@@ -1,6 +1,7 @@
 """Persisted retrieval: postings in blocks, and vectors of texts that are known."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,16 @@ def test_stored_search_is_exact_and_leaves_blocks_out(spark, tmp_path, monkeypat
     assert index.totals[0] == 3004
 
 
+def test_terms_are_counted_within_a_row(spark, tmp_path):
+    texts = {k: " ".join(random.Random(k).choices("abc", k=k)) for k in range(9)}
+    df = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    for x in df.select("doc", postings.counted(F.filter(F.split("text", " "), lambda t: t != "")).alias("x")).collect():
+        want = sorted(Counter(texts[x.doc].split()).items())
+        assert (x.x.length, list(zip(x.x.terms, x.x.tfs))) == (x.doc, want)
+    StoredBM25(spark, f"file://{tmp_path}/index").add(df, "doc", "text")
+    assert sorted(x.name for x in (tmp_path / "index/segments/1").iterdir() if x.is_dir()) == ["blocks", "docs", "terms", "totals"]  # no rows of single postings
+
+
 def test_equal_scores_go_by_the_smaller_doc(spark, tmp_path, monkeypatch):
     """Two texts whose scores differ by less than half of the last digit, the better one with the larger id."""
     monkeypatch.setattr(postings, "BLOCK", 1)
