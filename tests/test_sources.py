@@ -64,6 +64,21 @@ def test_snapshot_is_replaced(spark, tmp_path):
     assert len(list((tmp_path / "k" / "snapshots" / "s").glob("0*"))) == 1
 
 
+def test_two_bundles_are_dealt_once(spark):
+    """Each entity's keys of both sides go through one shuffle; a key without a value is equal to itself."""
+    files = [spark.createDataFrame(FILES[:k], "path string, content string") for k in (1, len(FILES))]
+    a, b = (extract.extract(x) for x in files)
+    df = graph.diff(a, b)
+    keys = [{(e, x.key) for e, rows in graph.all_keys(g).items() for x in rows.collect()} for g in (a, b)]
+    want = {("added", *x) for x in keys[1] - keys[0]} | {("removed", *x) for x in keys[0] - keys[1]}
+    got = [tuple(x) for x in df.collect()]
+    assert set(got) == want and len(got) == len(want)
+    loaded = [CodeGraph.of(spark, calls=[("f", None), ("f", "g"), ("f", "g")], imports=[("x", "y", None)]) for _ in range(2)]
+    df = graph.diff(*loaded)
+    assert df.collect() == []
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 5
+
+
 def test_slots_and_repairs(spark):
     with pytest.raises(KeyError):
         fill("{{SLOT:a}}", {})
